@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality_rules
 
 
 def queries() -> dict:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
