@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
