@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules, secret_scan
+from . import exact_dedup, packing, quality_rules, secret_scan, token_counts, token_records
 
 
 def queries() -> dict:
     return {
+        "op2_token_counts": token_counts.op2_token_counts,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_token_records": token_records.op5_token_records,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
