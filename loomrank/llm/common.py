@@ -59,6 +59,4 @@ def parts(spark: SparkSession) -> int:
 
 def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     """Keep Arrow batches to Python workers below a size in bytes, as rows alone don't bound long texts."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(1 << 31)).rstrip("b")) > most:
-        spark.conf.set(key, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
