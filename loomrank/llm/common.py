@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
-    """Keep Arrow batches to Python workers below a size in bytes, as rows alone don't bound long texts."""
+def python_ready(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Before Python runs on executors: send them this package, and bound Arrow batches in bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    context = spark.sparkContext
+    if getattr(context, "_loomrank_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="loomrank-")) / "loomrank_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(target))
+    context._loomrank_sent = True

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stage, whole_text
+from .common import python_ready, stage, whole_text
 from .tokenizing import encoder, slices
 
 CAPACITY, END_ID = 1024, 2
@@ -111,7 +111,7 @@ def token_pieces(
     with_ids: bool = False,
 ) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 (with_ids: and the ids, 4 bytes each)."""
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     return rows.mapInArrow(
         _pieces(tokenizer_path, end_id, capacity, with_ids), piece_schema(dict(rows.dtypes)["doc_id"], with_ids)
@@ -152,6 +152,7 @@ def pack(
     pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK
 ) -> DataFrame:
     """pieces (a column length, at most capacity, at least 1) with sequence_id and offset."""
+    python_ready(pieces.sparkSession)
     tasks = max(2, -(-pieces.count() // pieces_per_task))
     cols = [F.col(c) for c in pieces.columns]
     dealt = pieces.repartition(tasks, F.xxhash64(*cols)).sortWithinPartitions(F.xxhash64(*cols), *cols)

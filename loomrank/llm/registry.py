@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, secret_scan, token_counts, token_records
+from . import exact_dedup, minhash_dedup, packing, quality_rules, secret_scan, token_counts, token_records
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_secret_scan": secret_scan.op4_secret_scan,

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import bound_batches, fresh_path, whole_text
+from .common import python_ready, fresh_path, whole_text
 from .tokenizing import encoder, file_digest, slices
 
 CACHE_SCHEMA = "digest binary, tokenizer binary, n_tokens long"
@@ -59,7 +59,7 @@ def token_counts(
 
     normalise: a function under which a text's count doesn't change; none by default.
     """
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     spark = docs.sparkSession
     version = bytes.fromhex(file_digest(tokenizer_path))
     text = whole_text(text_col)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh_path, parts, whole_text
+from .common import python_ready, fresh_path, parts, whole_text
 from .tokenizing import encoder, slices
 
 END_ID = 2
@@ -130,7 +130,7 @@ def write_records(
 
     The index: doc_id, file_no, file, offset and size in bytes, n_tokens, tokens_before (in the same file).
     """
-    bound_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("__h", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts(spark), "doc_id", "__h").sortWithinPartitions("doc_id", "__h").drop("__h")
@@ -174,6 +174,7 @@ def read_records(index: DataFrame, folder: str, with_ids: bool = False) -> DataF
 
     Any subset or shuffle of the index can be read; its n_tokens is replaced by the count in the record.
     """
+    python_ready(index.sparkSession)
     kept = [(n, t) for n, t in index.dtypes if n != "n_tokens"]
     schema = ", ".join(f"`{n}` {t}" for n, t in kept) + ", n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     return index.mapInArrow(_read(folder, with_ids), schema)
