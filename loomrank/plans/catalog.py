@@ -1,11 +1,264 @@
-"""Named queries of the retrieval engine and their SQL oracles."""
+"""Named queries of the retrieval engine over the `documents` table, and their SQL oracles.
+
+Every query reads the whole table. The index of a data folder is built once a session and shared by its queries.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomrank.functions.scoring import idf
+from loomrank.functions.stemmer import stem_column
+from loomrank.operators import impact, match, rank
+from loomrank.operators.index import STOPWORDS, Index, build_index, prefix_terms, without_stopwords
+from loomrank.session import send_package, table
+from loomrank.sources.runs import six_digits
+from loomrank.sources.topics import parse_topics, topic_frame
+
+K = 50
+#: Ranges and long lists as small as the test tables need to have any.
+RANGE, LONG_LIST = 128, 100
+PREFIX = "thing"
+TOPIC_TEXT = """<DOC T1>
+the
+thing
+que
+</DOC>
+<DOC T2>
+ther
+thon
+la
+zzzunknown
+</DOC>
+<DOC T3>
+in
+</DOC>
+<DOC T4>
+que
+la	rest of line
+la
+</DOC>
+"""
+
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of a folder's documents, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        docs = table(spark, sf_dir, "documents").withColumn("docno", F.concat_ws("-", "source", "doc_id"))
+        _indexes[key] = build_index(docs, name_col="docno")
+    return _indexes[key]
+
+
+def topics(spark: SparkSession) -> DataFrame:
+    return topic_frame(spark, parse_topics(TOPIC_TEXT.split("\n")))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.query_plan(topics(spark), index_of(spark, sf_dir))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.matches(_plan(spark, sf_dir), index_of(spark, sf_dir))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def _block_seek(spark: SparkSession, d: str) -> DataFrame:
+    """Every other term's block for each document of a topic's rarest term."""
+    index, plan = index_of(spark, d), _plan(spark, d)
+    first = match.term_postings(plan.filter("rank = 1"), index).select("topic", "doc_id")
+    targets = first.join(plan.filter("rank > 1").select("topic", "term"), "topic")
+    return impact.block_seek(impact.block_info(index), targets).select("topic", "term", "doc_id", "block_no")
+
+
+def _stems(spark: SparkSession, d: str) -> DataFrame:
+    send_package(spark)
+    terms = index_of(spark, d).dictionary.select("term", "df")
+    return terms.withColumn("stem", stem_column("term")).groupBy("stem").agg(F.count("*").alias("n_terms"), F.sum("df").alias("df"))
+
+
+def _idf(spark: SparkSession, d: str) -> DataFrame:
+    index = index_of(spark, d)
+    rows = index.dictionary.crossJoin(F.broadcast(index.stats.select("n_docs")))
+    return rows.select("term", "df", F.round(idf(F.col("n_docs"), F.col("df")), 6).alias("g"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    x, plan, found = index_of, _plan, _matches
+    ranges = lambda s, d: impact.doc_block_info(x(s, d), RANGE, LONG_LIST)
+    run = lambda s, d: rank.run_output(rank.bm25_tiered(found(s, d), K), x(s, d).doc_names)
+    return {
+        "collection_stats": lambda s, d: _rounded(x(s, d).stats, "avg_doc_len"),
+        "postings": lambda s, d: x(s, d).postings,
+        "doc_lengths": lambda s, d: x(s, d).doc_stats,
+        "dictionary": lambda s, d: x(s, d).dictionary,
+        "dictionary_stopped": lambda s, d: without_stopwords(x(s, d).dictionary),
+        "doc_lookup": lambda s, d: x(s, d).doc_names,
+        "term_lookup": lambda s, d: match.term_lookup(topics(s), x(s, d).dictionary),
+        "prefix_terms": lambda s, d: prefix_terms(x(s, d).dictionary, PREFIX),
+        "term_postings": lambda s, d: match.term_postings(plan(s, d), x(s, d)).select("topic", "term", "doc_id", "tf"),
+        "idf": _idf,
+        "query_plan": lambda s, d: _rounded(plan(s, d), "g", "suffix_g"),
+        "or_match": lambda s, d: found(s, d).select("topic", "doc_id", "tier", "n_matched"),
+        "and_match": lambda s, d: match.and_match(found(s, d), plan(s, d)).select("topic", "doc_id", "score"),
+        "tier_masks": lambda s, d: match.tier_masks(found(s, d)),
+        "tier_counts": lambda s, d: match.tier_counts(found(s, d)),
+        "tier_prune": lambda s, d: match.tier_prune(found(s, d), K).select("topic", "doc_id", "tier"),
+        "bm25_weights": lambda s, d: _rounded(rank.bm25_weights(plan(s, d), x(s, d)), "w", "score"),
+        "bm25_exact": lambda s, d: rank.bm25_exact(found(s, d), K),
+        "bm25_rerank": lambda s, d: rank.bm25_rerank(found(s, d), K),
+        "bm25_tiered": lambda s, d: rank.bm25_tiered(found(s, d), K),
+        "score_accumulate": lambda s, d: rank.score_accumulate(found(s, d), K),
+        "eval_counts": lambda s, d: rank.eval_counts(found(s, d), K),
+        "essential_terms": lambda s, d: _rounded(match.essential_terms(found(s, d), plan(s, d), K), "suffix_g"),
+        "run_output": lambda s, d: run(s, d).withColumn("score", six_digits(F.col("score"))),
+        "block_info": lambda s, d: _rounded(impact.block_info(x(s, d)), "max_score", "min_score"),
+        "term_max_score": lambda s, d: _rounded(impact.term_max_score(x(s, d)), "max_score", "min_score"),
+        "block_seek": _block_seek,
+        "doc_block_info": lambda s, d: _rounded(ranges(s, d), "max_w", "g"),
+        "score_quantize": lambda s, d: _rounded(impact.score_quantize(ranges(s, d)), "decoded_floor", "decoded_ceil"),
+        "gap_encode": lambda s, d: impact.gap_encode(x(s, d).postings),
+        "gap_decode": lambda s, d: impact.gap_decode(impact.gap_encode(x(s, d).postings)),
+        "block_bits": lambda s, d: impact.block_bits(x(s, d).postings),
+        "stem_terms": _stems,
+        "topic_parse": lambda s, d: topics(s),
+        "language_model": lambda s, d: rank.language_model(plan(s, d), x(s, d), K).drop("tier_score"),
+    }
+
+
+_INDEX = r"""
+doc AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
+               lambda x: x <> '') AS terms FROM documents),
+dl AS (SELECT doc_id, len(terms)::BIGINT AS doc_len FROM doc),
+post AS (SELECT term, doc_id, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM doc)
+         GROUP BY term, doc_id),
+voc AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term),
+dict AS (SELECT term, row_number() OVER (ORDER BY cf DESC, term)::BIGINT AS term_id, df, cf FROM voc),
+st AS (SELECT count(*)::BIGINT AS n_docs, sum(doc_len)::BIGINT AS total_tokens, avg(doc_len) AS avg_doc_len FROM dl)"""
+
+_TOPICS = """
+topics(topic, pos, term, qtf) AS (VALUES ('T1', 0, 'the', 1::BIGINT), ('T1', 1, 'thing', 1), ('T1', 2, 'que', 1),
+  ('T2', 0, 'ther', 1), ('T2', 1, 'thon', 1), ('T2', 2, 'la', 1), ('T2', 3, 'zzzunknown', 1), ('T3', 0, 'in', 1),
+  ('T4', 0, 'que', 1), ('T4', 1, 'la', 2))"""
+
+_W = "2.2 * tf / (1.2 * (0.8 + 0.2 * doc_len / avg_doc_len) + tf)"
+_G = "ln((n_docs - df + 0.5) / (df + 0.5))"
+
+_PLAN = f"""{_INDEX},{_TOPICS},
+plan0 AS (SELECT topic, pos, term, qtf, df, {_G} AS g FROM topics JOIN dict USING (term), st),
+plan AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY g DESC, term, pos)::BIGINT AS rank,
+  sum(greatest(g, 0)) OVER (PARTITION BY topic ORDER BY g DESC, term, pos
+                            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix_g FROM plan0),
+hit AS (SELECT topic, pos, term, doc_id, tf, g, {_W} AS w FROM post JOIN plan USING (term) JOIN dl USING (doc_id), st),
+found AS (SELECT topic, doc_id, round(sum(g), 6) AS tier, sum(power(2, pos))::BIGINT AS mask,
+  count(*)::BIGINT AS n_matched, round(sum(w * g), 6) AS score FROM hit GROUP BY topic, doc_id),
+tc0 AS (SELECT topic, tier, count(*)::BIGINT AS cnt FROM found GROUP BY topic, tier),
+tc AS (SELECT topic, tier, cnt, coalesce(sum(cnt) OVER (PARTITION BY topic ORDER BY tier DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM tc0),
+kept AS (SELECT found.* FROM found JOIN tc USING (topic, tier) WHERE prior < {K})"""
+
+_WEIGHTED = f"""{_INDEX},
+wt AS (SELECT term, doc_id, tf, {_G} AS g, {_W} AS w FROM post JOIN dict USING (term) JOIN dl USING (doc_id), st),
+num AS (SELECT *, w * g AS score, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 64)::BIGINT AS block_no
+  FROM wt),
+blocks AS (SELECT term, block_no, max(doc_id) AS last_doc_id, count(*)::BIGINT AS n, max(score) AS max_score,
+  min(score) AS min_score FROM num GROUP BY term, block_no),
+ranges AS (SELECT term, floor(doc_id / {RANGE})::BIGINT AS range_no, max(w) AS max_w, any_value(g) AS g FROM wt
+  WHERE term IN (SELECT term FROM dict WHERE df >= {LONG_LIST}) GROUP BY term, range_no),
+quant AS (SELECT *, round(max_w * 255 / top, 9) AS q FROM (SELECT *, max(max_w) OVER (PARTITION BY term) AS top FROM ranges)),
+gaps AS (SELECT term, doc_id, (doc_id + 1 - lag(doc_id + 1, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) - 1)::BIGINT
+  AS gap, tf - 1 AS tf_less, ((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 64)::BIGINT AS block_no
+  FROM post)"""
+
 
-def queries() -> dict:
-    return {}
+def _ranked(source: str, order: str) -> str:
+    return f"""WITH {_PLAN},
+r AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY {order}, doc_id)::BIGINT AS rank, doc_id,
+  tier AS tier_score, score FROM {source})
+SELECT * FROM r WHERE rank <= {K}"""
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+    bits = "CASE WHEN cut < 2 THEN 1 WHEN cut < 4 THEN 2 WHEN cut < 8 THEN 3 WHEN cut < 16 THEN 4 WHEN cut < 32 THEN 5 WHEN cut < 64 THEN 6 WHEN cut < 256 THEN 8 WHEN cut < 1024 THEN 10 ELSE 16 END"
+    return {
+        "collection_stats": f"""WITH {_INDEX} SELECT n_docs, total_tokens, round(avg_doc_len, 6) AS avg_doc_len,
+(SELECT count(*)::BIGINT FROM dict) AS n_terms, (SELECT max(df) FROM dict) AS max_df,
+(SELECT max(cf) FROM dict) AS max_cf FROM st""",
+        "postings": f"WITH {_INDEX} SELECT term, doc_id, tf FROM post",
+        "doc_lengths": f"WITH {_INDEX} SELECT doc_id, doc_len FROM dl",
+        "dictionary": f"WITH {_INDEX} SELECT term, term_id, df, cf FROM dict",
+        "dictionary_stopped": f"WITH {_INDEX} SELECT term, term_id, df, cf FROM dict WHERE term NOT IN ({stop})",
+        "doc_lookup": "SELECT doc_id, substring(concat_ws('-', source, doc_id), 1, 255) AS docno FROM documents",
+        "term_lookup": f"""WITH {_INDEX},{_TOPICS} SELECT topic, pos, t.term, qtf, coalesce(term_id, 0) AS term_id,
+coalesce(df, 0) AS df FROM topics t LEFT JOIN dict d ON t.term = d.term""",
+        "prefix_terms": f"WITH {_INDEX} SELECT term, term_id, df, cf FROM dict WHERE term LIKE '{PREFIX}%'",
+        "term_postings": f"WITH {_PLAN} SELECT topic, term, doc_id, tf FROM hit",
+        "idf": f"WITH {_INDEX} SELECT term, df, round({_G}, 6) AS g FROM dict, st",
+        "query_plan": f"""WITH {_PLAN} SELECT topic, pos, term, qtf, df, round(g, 6) AS g, rank,
+round(suffix_g, 6) AS suffix_g FROM plan""",
+        "or_match": f"WITH {_PLAN} SELECT topic, doc_id, tier, n_matched FROM found",
+        "and_match": f"""WITH {_PLAN} SELECT topic, doc_id, score FROM found
+JOIN (SELECT topic, count(*) AS n FROM plan GROUP BY topic) USING (topic) WHERE n_matched = n""",
+        "tier_masks": f"WITH {_PLAN} SELECT topic, mask, tier, count(*)::BIGINT AS cnt FROM found GROUP BY ALL",
+        "tier_counts": f"WITH {_PLAN} SELECT topic, tier, cnt, prior FROM tc",
+        "tier_prune": f"WITH {_PLAN} SELECT topic, doc_id, tier FROM kept",
+        "bm25_weights": f"""WITH {_PLAN} SELECT topic, term, doc_id, tf, round(w, 6) AS w, round(w * g, 6) AS score
+FROM hit""",
+        "bm25_exact": _ranked("found", "score DESC"),
+        "bm25_rerank": _ranked("kept", "score DESC"),
+        "bm25_tiered": _ranked("kept", "tier DESC, score DESC"),
+        "score_accumulate": f"""WITH {_PLAN} SELECT doc_id, round(sum(score), 6) AS score, count(*)::BIGINT AS parts
+FROM found GROUP BY doc_id ORDER BY 2 DESC, doc_id LIMIT {K}""",
+        "eval_counts": f"""WITH {_PLAN} SELECT topic, sum(cnt)::BIGINT AS matched,
+sum(CASE WHEN prior < {K} THEN cnt ELSE 0 END)::BIGINT AS evaluated, count(*)::BIGINT AS tiers,
+sum(CASE WHEN prior < {K} THEN 1 ELSE 0 END)::BIGINT AS kept_tiers FROM tc GROUP BY topic""",
+        "essential_terms": f"""WITH {_PLAN}, th AS (SELECT topic, max(tier) AS threshold FROM tc WHERE prior >= {K}
+GROUP BY topic)
+SELECT topic, term, rank, round(suffix_g, 6) AS suffix_g, threshold,
+threshold IS NULL OR round(suffix_g, 6) >= threshold AS essential FROM plan LEFT JOIN th USING (topic)""",
+        "block_info": f"""WITH {_WEIGHTED} SELECT term, block_no, last_doc_id, n, round(max_score, 6) AS max_score,
+round(min_score, 6) AS min_score FROM blocks""",
+        "term_max_score": f"""WITH {_WEIGHTED} SELECT term, round(max(score), 6) AS max_score,
+round(min(score), 6) AS min_score FROM num GROUP BY term""",
+        "block_seek": f"""WITH {_PLAN}, nb AS (SELECT term, doc_id,
+((row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 64)::BIGINT AS block_no FROM post),
+bl AS (SELECT term, block_no, max(doc_id) AS last_doc_id FROM nb GROUP BY ALL),
+t AS (SELECT h.topic, p.term, h.doc_id FROM hit h JOIN plan r ON h.topic = r.topic AND h.term = r.term AND r.rank = 1
+      JOIN plan p ON p.topic = h.topic AND p.rank > 1)
+SELECT topic, t.term, t.doc_id, min(block_no) AS block_no FROM t LEFT JOIN bl ON bl.term = t.term
+AND last_doc_id >= doc_id GROUP BY topic, t.term, t.doc_id""",
+        "doc_block_info": f"""WITH {_WEIGHTED} SELECT term, range_no, round(max_w, 6) AS max_w, round(g, 6) AS g
+FROM ranges""",
+        "score_quantize": f"""WITH {_WEIGHTED} SELECT term, range_no, floor(q)::INTEGER AS q_floor,
+ceil(q)::INTEGER AS q_ceil, round(top * floor(q) / 255, 6) AS decoded_floor,
+round(top * ceil(q) / 255, 6) AS decoded_ceil FROM quant""",
+        "gap_encode": f"WITH {_WEIGHTED} SELECT term, doc_id, gap, tf_less FROM gaps",
+        "gap_decode": f"""WITH {_WEIGHTED} SELECT term, (sum(gap + 1) OVER (PARTITION BY term ORDER BY doc_id
+ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS doc_ord, tf_less + 1 AS tf FROM gaps""",
+        "block_bits": f"""WITH {_WEIGHTED}, b AS (SELECT term, block_no, count(*)::BIGINT AS n, max(gap) AS max_gap,
+list_sort(list(gap))[greatest(floor(count(*) * 0.9)::INTEGER, 1)] AS cut FROM gaps GROUP BY ALL),
+c AS (SELECT *, {bits} AS bits FROM b)
+SELECT term, block_no, n, cut AS cut_gap, max_gap, bits, CASE WHEN max_gap >> bits < 256 THEN 1
+WHEN max_gap >> bits < 65536 THEN 2 WHEN max_gap >> bits < 16777216 THEN 3 ELSE 4 END AS extra_bytes FROM c""",
+        "topic_parse": f"WITH {_TOPICS} SELECT * FROM topics",
+        "run_output": f"""WITH {_PLAN}, r AS (SELECT topic, doc_id, score, row_number() OVER (PARTITION BY topic
+ORDER BY tier DESC, score DESC, doc_id)::BIGINT AS rank FROM kept)
+SELECT topic, rank, substring(concat_ws('-', source, doc_id), 1, 255) AS docno,
+regexp_replace((CASE WHEN score = 0 THEN 0.0::DOUBLE ELSE round(score * power(10.0::DOUBLE, 5 - floor(log10(abs(score)))))
+/ power(10.0::DOUBLE, 5 - floor(log10(abs(score)))) END)::VARCHAR, '\\.0$', '') AS score FROM r JOIN documents USING (doc_id) WHERE rank <= {K}""",
+        "language_model": f"""WITH {_PLAN}, c AS (SELECT DISTINCT topic, doc_id FROM hit),
+s AS (SELECT c.topic, c.doc_id, round(sum(ln((coalesce(h.tf, 0) + 2500.0 * d.cf / total_tokens) / (doc_len + 2500.0))), 6)
+  AS score FROM c JOIN plan p ON p.topic = c.topic JOIN dict d ON d.term = p.term JOIN dl ON dl.doc_id = c.doc_id
+  LEFT JOIN hit h ON h.topic = c.topic AND h.doc_id = c.doc_id AND h.term = p.term, st GROUP BY c.topic, c.doc_id),
+r AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY score DESC, doc_id)::BIGINT AS rank, doc_id, score FROM s)
+SELECT * FROM r WHERE rank <= {K}""",
+    }

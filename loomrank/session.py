@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +27,17 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory, by any path Spark can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, before Python runs there."""
+    context = spark.sparkContext
+    if getattr(context, "_loomrank_sent", False):
+        return
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="loomrank-")) / "loomrank_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(target))
+    context._loomrank_sent = True
