@@ -19,7 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
+#: Distinct stretches that a worker remembers between slices.
+KNOWN = 500_000
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:%$#&*]"
 _UNSURE = (
     r"[ \t\n][ \t\n]|[\x00\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -50,17 +52,34 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.cut = _cut(json.load(f))
+        self._forget()
 
     def _each(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _distinct(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of each stretch, lengths, ids one after another) of the distinct stretches."""
-        coded = stretches.dictionary_encode()
-        ids = self._each(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        return coded.indices.to_numpy(), lengths, flat
+    def _known(self, words: list[str]) -> np.ndarray:
+        """Places of words in the table of encoded stretches, which starts anew when it is full."""
+        if len(self.place) > KNOWN:
+            self._forget()
+        place = self.place
+        at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            ids = self._each(fresh)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+            first = len(self.first)
+            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.length = np.concatenate([self.length, lengths])
+            self.flat = np.concatenate([self.flat, flat])
+            at[new] = np.arange(first, first + len(fresh))
+            place.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        return at
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.first, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of each text in them)."""
@@ -69,11 +88,11 @@ class Encoder:
             return _joined([np.array(x, np.uint32) for x in self._each(texts.to_pylist())])
         unsure = pc.match_substring_regex(texts, _UNSURE)
         lists = self.cut(pc.if_else(unsure, "", texts))
-        index, lengths, flat = self._distinct(lists.flatten())
-        per = lengths[index]
+        coded = lists.flatten().dictionary_encode()
+        index = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        per = self.length[index]
         ends = np.concatenate([[0], np.cumsum(per)])
-        first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        out = flat[np.repeat(first[index] - ends[:-1], per) + np.arange(ends[-1])]
+        out = self.flat[np.repeat(self.first[index] - ends[:-1], per) + np.arange(ends[-1])]
         offsets = ends[_bounds(lists)]
         if not pc.any(unsure).as_py():
             return out, offsets
@@ -91,8 +110,7 @@ class Encoder:
         unsure = pc.match_substring_regex(texts, _UNSURE)
         lists = self.cut(pc.if_else(unsure, "", texts))
         coded = lists.flatten().dictionary_encode()
-        encoded = self.tok.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        lengths = self.length[self._known(coded.dictionary.to_pylist())]
         ends = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy()])])[_bounds(lists)]
         out = np.diff(ends)
         at = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
