@@ -6,10 +6,10 @@ correlated, so the estimate varies less. Bands of ROWS values make buckets; the
 threshold so that a pair at the threshold is missed with a probability of at most MISS.
 
 Equal sets are one node from the start. Within a bucket, members are first compared with a few leaders (the smallest
-id, then members drawn by hash), each confirmed on full sets; connected components follow, and only members of
-different components of a bucket are left. Those are compared by signature in blocks of bounded size, and every pair
-whose estimate comes near the threshold is confirmed. So each candidate pair is either in one component already or
-was compared; no bucket is capped, and none is spread out into all its pairs of rows.
+id, then one drawn by hash), each confirmed on full sets; connected components follow, and only members of different
+components of a bucket are left. Those are compared on full sets in pairs of blocks of bounded size, each pair of
+documents once, and only links that join components leave a block. So each candidate pair is in one component already
+or was compared; no bucket is capped, and none is spread out into all its pairs of rows.
 
 Cases: null and blank texts have no shingles and link with nothing; a text with fewer words than a shingle is one
 shingle of its whole sequence; texts of any length are read whole; rows that share an id are one document; a null id
@@ -33,9 +33,7 @@ from .tokenizing import slices
 
 WORDS, THRESHOLD = 5, 80
 ROWS, MISS = 6, 1e-6
-LEADER_ROUNDS, BLOCK, PAIRS_PER_TASK = 3, 512, 512
-#: Standard deviations below the threshold from which an estimate rules a pair out.
-SIGMAS = 5
+LEADER_ROUNDS, BLOCK, PAIRS_PER_TASK = 2, 256, 512
 
 
 def n_bands(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -68,13 +66,12 @@ def _sign(words: int, rows: int, bands: int) -> Callable:
         hasher = MinMax(rows * bands)
         number = np.arange(bands, dtype=np.uint64)
         for b in slices(batches, "text", 1 << 20):
-            size, key, band, sig = [], [], [], []
+            size, key, band = [], [], []
             for s in shingle_sets(b.column("text"), words):
                 size.append(len(s))
                 if not len(s):
                     key.append(None)
                     band.append(None)
-                    sig.append(None)
                     continue
                 values = hasher.signature(s)[: rows * bands]
                 k = number.copy()
@@ -83,16 +80,14 @@ def _sign(words: int, rows: int, bands: int) -> Callable:
                 both = np.array([np.bitwise_xor.reduce(mix(s)), mix(s + np.uint64(1)).sum(dtype=np.uint64)], np.uint64)
                 key.append(both.tobytes())
                 band.append(k.view(np.int64))
-                sig.append((values & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.record_batch(
                 [
                     b.column("doc_id"),
                     pa.array(size, pa.int64()),
                     pa.array(key, pa.binary()),
                     pa.array(band, pa.list_(pa.int64())),
-                    pa.array(sig, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "key", "bands", "sig"],
+                ["doc_id", "n_shingles", "key", "bands"],
             )
 
     return run
@@ -134,55 +129,100 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     return stage(rows.mapInArrow(_confirm(words, percent), "a long, b long"), "minhash-links")
 
 
-def _near(percent: int, cut: float) -> Callable:
-    """Members of a pair of blocks come together; yields pairs of different components with near signatures."""
-
-    def compare(rows: list[tuple]) -> tuple[list, list]:
-        i = [r for r in rows if r[1] == 0]
-        j = [r for r in rows if r[1] == 1] or i
-        sig_j = np.frombuffer(b"".join(r[5] for r in j), np.uint8).reshape(len(j), -1)
-        id_j, n_j, c_j = (np.array([r[k] for r in j], np.int64) for k in (2, 3, 4))
-        left, right = [], []
-        for _, _, own, n, comp, sig in i:
-            ok = (c_j != comp) & (100 * np.minimum(n_j, n) >= percent * np.maximum(n_j, n))
-            if j is i:
-                ok &= id_j > own
-            at = np.flatnonzero(ok)
-            if len(at):
-                same = (sig_j[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-                for x in id_j[at[same >= cut]].tolist():
-                    left.append(min(own, x))
-                    right.append(max(own, x))
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets of one list with all of another."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for i in range(0, len(common), 4096):
+        part = common[i : i + 4096]
+        sides = []
+        for sets, flat in ((left, a), (right, b)):
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            inside = part[at] == flat
+            side = np.zeros((len(sets), len(part)), np.float32)
+            side[np.repeat(np.arange(len(sets)), [len(x) for x in sets])[inside], at[inside]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)  # exact below 2**24
+
+
+def _compare(words: int, percent: int) -> Callable:
+    """Members of a pair of blocks of a bucket come together; yields links that join components.
+
+    A pair that shares several buckets is compared in the bucket of its first band only. Of the links found, those that
+    join what the pair of blocks has not joined yet are enough.
+    """
+
+    def block(rows: list[tuple]) -> tuple[list, list]:
+        bucket = rows[0][1]
+        i = [r for r in rows if r[2] == 0]
+        j = [r for r in rows if r[2] == 1] or i
+        if not i:
+            return [], []
+        id_i, n_i, c_i = (np.array([r[k] for r in i], np.int64) for k in (3, 4, 5))
+        id_j, n_j, c_j = (np.array([r[k] for r in j], np.int64) for k in (3, 4, 5))
+        open_ = c_i[:, None] != c_j
+        open_ &= 100 * np.minimum(n_i[:, None], n_j) >= percent * np.maximum(n_i[:, None], n_j)
+        if j is i:
+            open_ &= id_i[:, None] < id_j
+        x, y = np.nonzero(open_)
+        if not len(x):
+            return [], []
+        b_i, b_j = (np.array([r[6] for r in side], np.int64) for side in (i, j))
+        first = b_i[x, (b_i[x] == b_j[y]).argmax(axis=1)] == bucket
+        x, y = x[first], y[first]
+        if not len(x):
+            return [], []
+        ux, uy = np.unique(x), np.unique(y)
+        sets = [list(shingle_sets(pa.array([side[k][7] for k in u.tolist()]), words)) for side, u in ((i, ux), (j, uy))]
+        both = _overlaps(*sets)[np.searchsorted(ux, x), np.searchsorted(uy, y)]
+        link = (both > 0) & (100 * both >= percent * (n_i[x] + n_j[y] - both))
+        left, right, root = [], [], {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for p, q in zip(x[link].tolist(), y[link].tolist(), strict=True):
+            s, t = find(int(c_i[p])), find(int(c_j[q]))
+            if s != t:
+                root[max(s, t)] = min(s, t)
+                left.append(int(id_i[p]))
+                right.append(int(id_j[q]))
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
+        names = ("group", "bucket", "side", "id", "n", "comp", "bands", "text")
         for b in batches:
             left, right = [], []
-            for r in zip(*(b.column(c).to_pylist() for c in ("group", "side", "id", "n", "comp", "sig")), strict=True):
+            for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
                 if r[0] != now:
-                    x, y = compare(rows) if rows else ([], [])
+                    x, y = block(rows) if rows else ([], [])
                     left, right, now, rows = left + x, right + y, r[0], []
                 rows.append(r)
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         if rows:
-            x, y = compare(rows)
+            x, y = block(rows)
             yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _block_pairs(mixed: DataFrame, n: int) -> DataFrame:
-    """mixed (bucket, id, n, comp, sig) dealt as pairs of blocks of a bucket: group, side, id, n, comp, sig."""
+def _block_pairs(mixed: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """mixed (bucket, id, n, comp, bands) with texts, dealt as pairs of blocks of a bucket."""
     blocks = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     rows = mixed.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.join(found.select(F.col("doc_id").alias("id"), "text"), "id")
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
     rows = rows.select(
         F.xxhash64("bucket", lo, hi).alias("deal"),
         F.concat_ws(":", "bucket", lo, hi).alias("group"),
         F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"),
-        "id", "n", "comp", "sig",
+        "bucket", "id", "n", "comp", "bands", "text",
     )
     return rows.repartition(n, "deal").drop("deal").sortWithinPartitions("group", "side", "id")
 
@@ -207,7 +247,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     signed = stage(
         texts.mapInArrow(
-            _sign(words, rows, bands), "doc_id long, n_shingles long, key binary, bands array<long>, sig binary"
+            _sign(words, rows, bands), "doc_id long, n_shingles long, key binary, bands array<long>"
         ),
         "minhash-signed",
     )
@@ -215,7 +255,7 @@ def near_duplicates(
     node = (
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("key", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     )
     node = stage(node, "minhash-nodes")
     buckets = node.select(F.explode("bands").alias("bucket"), "id", F.col("n_shingles").alias("n"))
@@ -249,12 +289,11 @@ def near_duplicates(
                 pairs = mixed.filter(
                     (F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n"))
                 ).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-            else:
-                own = mixed.join(node.select("id", "sig"), "id").select("bucket", "id", "n", "comp", "sig")
-                cut = percent / 100 - SIGMAS * math.sqrt(percent / 100 * (1 - percent / 100) / (rows * bands))
-                pairs = _block_pairs(own, n).mapInArrow(_near(percent, cut), "a long, b long")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn == LEADER_ROUNDS else pairs.distinct()
-        new = confirm_links(pairs, found, words, percent)
+        if turn < LEADER_ROUNDS:
+            new = confirm_links(pairs.distinct(), found, words, percent)
+        else:
+            own = mixed.select("bucket", "id", "n", "comp").join(node.select("id", "bands"), "id")
+            new = stage(_block_pairs(own, found, n).mapInArrow(_compare(words, percent), "a long, b long"), "minhash-links")
         links = new if links is None else links.unionByName(new)
         comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(
             F.col("node").alias("id"), F.col("component").alias("comp")
