@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, place of its first byte) of lower-cased bytes; starts_at: where texts begin."""
     fill = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -52,18 +52,24 @@ def word_hashes(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np
     return mix(np.add.reduceat(value, runs) + length * np.uint64(0xD6E8FEB86659FD93)), start
 
 
-def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes one after another, and where each begins and the last ends."""
     texts = pc.fill_null(texts, "")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     bounds = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None and len(bounds) else np.zeros(0, np.uint8)
-    return _LOWER[data], bounds - bounds[0]
+    return data, bounds - bounds[0]
 
 
-def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes of any number of bytes, in blocks that end at white space."""
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, place of its first byte) of lower-cased bytes, in blocks that end at white space; bounds: of the
+    texts in them."""
     hashes, places, i = [], [], 0
     while i < len(data):
         end = min(len(data), i + BLOCK)
@@ -75,7 +81,7 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 later = np.flatnonzero(_SPACE[data[end:]])
                 end = end + int(later[0]) + 1 if len(later) else len(data)
         inside = bounds[(bounds >= i) & (bounds < end)] - i
-        h, p = word_hashes(data[i:end], inside)
+        h, p = _block_hashes(data[i:end], inside)
         hashes.append(h)
         places.append(p + i)
         i = end
@@ -84,8 +90,8 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingles of `words` words; fewer words: one shingle; none: empty."""
-    data, bounds = _lowered(texts)
-    hashes, places = _words(data, bounds)
+    data, bounds = raw_bytes(texts)
+    hashes, places = word_hashes(lowered(data), bounds)
     at = np.searchsorted(places, bounds)
     full = max(0, len(hashes) - words + 1)
     shingles = np.zeros(full, np.uint64)
