@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts, token_records
+from . import (
+    exact_dedup,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    token_counts,
+    token_records,
+)
 
 
 def queries() -> dict:
@@ -14,6 +24,7 @@ def queries() -> dict:
         "op5_token_records": token_records.op5_token_records,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
