@@ -6,6 +6,7 @@ from . import (
     exact_dedup,
     line_dedup,
     minhash_dedup,
+    nbest_segmentation,
     packing,
     quality_classifier,
     quality_rules,
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_token_records": token_records.op5_token_records,
+        "op6_nbest_segmentation": nbest_segmentation.op6_nbest_segmentation,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_line_dedup": line_dedup.op9_line_dedup,
