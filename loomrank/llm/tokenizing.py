@@ -110,12 +110,13 @@ class Encoder:
         unsure = pc.match_substring_regex(texts, _UNSURE)
         lists = self.cut(pc.if_else(unsure, "", texts))
         coded = lists.flatten().dictionary_encode()
-        lengths = self.length[self._known(coded.dictionary.to_pylist())]
+        at = self._known(coded.dictionary.to_pylist())  # may replace the table
+        lengths = self.length[at]
         ends = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy()])])[_bounds(lists)]
         out = np.diff(ends)
-        at = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
-        if len(at):
-            out[at] = [len(x) for x in self._each(texts.take(pa.array(at)).to_pylist())]
+        whole = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
+        if len(whole):
+            out[whole] = [len(x) for x in self._each(texts.take(pa.array(whole)).to_pylist())]
         return out
 
 
