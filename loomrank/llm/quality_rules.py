@@ -2,7 +2,8 @@
 
 The decision list is learned by sequential covering. Each round grows one conjunction of thresholds on two thirds of
 the labelled rows (by FOIL's information gain), prunes conditions from its end on the other third while that doesn't
-lower (p - n) / (p + n), and drops the rows it covers. All counting is done by Spark over every labelled row: one
+lower (p - n) / (p + n), and drops the rows it covers; a rule that isn't precise on the rows set aside is dropped, and
+the next one begins with another feature. All counting is done by Spark over every labelled row: one
 grouped count of (feature, bin) for each condition, of which a bounded table of counts comes to the driver. The rules
 leave as one ordered conditional expression.
 
@@ -196,16 +197,17 @@ def learn(
     binned = known.select("__y", "__prune", *[_bin(n, edges[n]).alias(n) for n in names])
     left = stage(binned, "rules-binned")
     rules: list[Rule] = []
+    failed: set[str] = set()  # features that began a rule which didn't hold on the rows set aside
     while len(rules) < max_rules:
-        grown = _grow(left.filter("not __prune"), names, edges, max_conditions, min_rows)
+        grown = _grow(left.filter("not __prune"), names, edges, max_conditions, min_rows, failed)
         if not grown:
             break
         kept, p, n = _prune(left.filter("__prune"), grown)
-        if not kept or p + n == 0 or p < min_precision * (p + n):
-            break
+        if p + n == 0 or p < min_precision * (p + n):
+            failed.add(grown[0][0])
+            continue
         total = left.filter(_holds(kept)).agg(F.sum(1 - F.col("__y")), F.sum("__y")).first()
-        if (total[0] or 0) < min_rows:
-            break
+        failed = set()
         rules.append(Rule([(f, op, edges[f][b - 1]) for f, op, b in kept], int(total[0]), int(total[1] or 0)))
         left = left.filter(~_holds(kept))
     return DecisionList(rules)
@@ -223,8 +225,11 @@ def _holds(conditions: list[tuple[str, str, int]]) -> Column:
     return out
 
 
-def _grow(rows: DataFrame, names: list[str], edges: dict, max_conditions: int, min_rows: int) -> list[tuple[str, str, int]]:
-    """Adds the condition of most information gain until none of label 1 is covered or none gains."""
+def _grow(
+    rows: DataFrame, names: list[str], edges: dict, max_conditions: int, min_rows: int, failed: set[str]
+) -> list[tuple[str, str, int]]:
+    """Adds the condition of most information gain until none of label 1 is covered or none gains; failed: features
+    that don't begin a rule."""
     chosen: list[tuple[str, str, int]] = []
     for _ in range(max_conditions):
         covered = rows.filter(_holds(chosen))
@@ -244,6 +249,8 @@ def _grow(rows: DataFrame, names: list[str], edges: dict, max_conditions: int, m
             break
         best = None
         for f, cells in table.items():
+            if not chosen and names[f] in failed:
+                continue
             for b in range(1, len(edges[names[f]]) + 1):
                 p = sum(x[1] for x in cells if x[0] >= b)
                 n = sum(x[2] for x in cells if x[0] >= b)
