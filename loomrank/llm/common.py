@@ -59,7 +59,7 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def python_ready(spark: SparkSession, most: int = 16 << 20) -> None:
+def python_ready(spark: SparkSession, most: int = 8 << 20) -> None:
     """Before Python runs on executors: send them this package, and bound Arrow batches in bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     context = spark.sparkContext

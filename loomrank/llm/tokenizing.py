@@ -19,9 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once in a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Texts in one call of the library.
+CALL = 4096
 #: Distinct stretches that a worker remembers between slices.
-KNOWN = 500_000
+KNOWN = 300_000
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,!?;:%$#&*]"
 _UNSURE = (
     r"[ \t\n][ \t\n]|[\x00\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -55,7 +57,10 @@ class Encoder:
         self._forget()
 
     def _each(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), CALL):  # the library's encodings are much larger than their ids
+            out += [e.ids for e in self.tok.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)]
+        return out
 
     def _known(self, words: list[str]) -> np.ndarray:
         """Places of words in the table of encoded stretches, which starts anew when it is full."""
