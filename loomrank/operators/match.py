@@ -12,11 +12,18 @@ from .index import Index
 
 #: Tier scores and final scores are compared after rounding, so that sums in another order tie alike.
 DIGITS = 6
+#: Rows up to which a batch of topics is held by the driver and broadcast; a larger one stays a table.
+SMALL = 100_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has at most SMALL rows, else as it is. Cheap for what came from the driver."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def term_lookup(topics: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Topics with term_id and df, 0 for an unknown term."""
-    found = topics.join(dictionary, "term", "left")
+    found = topics.join(dictionary.join(if_small(topics.select("term").distinct()), "term", "left_semi"), "term", "left")
     return found.select("topic", "pos", "term", "qtf", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("term_id", "df")])
 
 
@@ -28,20 +35,24 @@ def stem_topics(topics: DataFrame) -> DataFrame:
 
 def query_plan(topics: DataFrame, index: Index) -> DataFrame:
     """Known terms of each topic, rarest first, with suffix_g: the most that the terms from here on can add."""
-    terms = topics.join(index.dictionary, "term").crossJoin(F.broadcast(index.stats.select("n_docs")))
+    few = topics.limit(SMALL + 1).count() <= SMALL
+    terms = index.dictionary.join(F.broadcast(topics) if few else topics, "term")
+    terms = terms.crossJoin(F.broadcast(index.stats.select("n_docs")))
     terms = terms.withColumn("g", idf(F.col("n_docs"), F.col("df")))
     order = Window.partitionBy("topic").orderBy(F.desc("g"), "term", "pos")
     rest = order.rowsBetween(0, Window.unboundedFollowing)
-    return terms.select(
+    plan = terms.select(
         "topic", "pos", "term", "qtf", "df", "g",
         F.row_number().over(order).cast("long").alias("rank"),
         F.sum(F.greatest("g", F.lit(0.0))).over(rest).alias("suffix_g"),
     )
+    # at most as many rows as the topics: found once, then planned with as a table of known size
+    return topics.sparkSession.createDataFrame(plan.collect(), plan.schema) if few else plan
 
 
 def term_postings(plan: DataFrame, index: Index) -> DataFrame:
     """The postings of each topic's terms. Postings are filtered by the terms before anything else is joined."""
-    return index.postings.join(plan, "term")
+    return index.postings.join(if_small(plan), "term")
 
 
 def matches(plan: DataFrame, index: Index) -> DataFrame:

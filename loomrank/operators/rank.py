@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomrank.functions.scoring import dirichlet, tf_weight
 
 from .index import Index
-from .match import DIGITS, tier_counts, tier_prune
+from .match import DIGITS, if_small, term_postings, tier_counts, tier_prune
 
 
 def _top(found: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -63,8 +63,8 @@ def language_model(plan: DataFrame, index: Index, k: int, mu: float = 2500.0) ->
     """Opt-in: query likelihood with Dirichlet smoothing over documents that have a term of the topic."""
     total = F.broadcast(index.stats.select("total_tokens"))
     terms = plan.join(index.dictionary.select("term", "cf"), "term").select("topic", "term", "cf")
-    rows = index.postings.join(F.broadcast(terms), "term")
-    found = rows.select("topic", "doc_id").distinct().join(F.broadcast(terms), "topic")
+    rows = index.postings.join(if_small(terms), "term")
+    found = rows.select("topic", "doc_id").distinct().join(if_small(terms), "topic")
     found = found.join(rows.select("topic", "doc_id", "term", "tf"), ["topic", "doc_id", "term"], "left")
     found = found.join(index.doc_stats, "doc_id").crossJoin(total)
     value = dirichlet(F.coalesce("tf", F.lit(0)), F.col("doc_len"), F.col("cf"), F.col("total_tokens"), mu)
@@ -75,6 +75,6 @@ def language_model(plan: DataFrame, index: Index, k: int, mu: float = 2500.0) ->
 def bm25_weights(plan: DataFrame, index: Index) -> DataFrame:
     """The weight of each posting of the topics' terms."""
     s = F.broadcast(index.stats.select("avg_doc_len"))
-    rows = index.postings.join(plan, "term").join(index.doc_stats, "doc_id").crossJoin(s)
+    rows = term_postings(plan, index).join(index.doc_stats, "doc_id").crossJoin(s)
     w = tf_weight(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
     return rows.select("topic", "term", "doc_id", "tf", w.alias("w"), (w * F.col("g")).alias("score"))
