@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, parts, stage, whole_text
+from .common import drop, parts, python_ready, stage, whole_text
 from .components import connected_components
 from .shingles import mix, shingle_sets
 from .tokenizing import slices
@@ -126,7 +126,9 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int)
     )
     rows = rows.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
     rows = rows.repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", "role", "id")
-    return stage(rows.mapInArrow(_confirm(words, percent), "a long, b long"), "minhash-links")
+    links = stage(rows.mapInArrow(_confirm(words, percent), "a long, b long"), "minhash-links")
+    drop(chunked)
+    return links
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -299,6 +301,8 @@ def near_duplicates(
             F.col("node").alias("id"), F.col("component").alias("comp")
         )
 
+    drop(members)
+    drop(found)
     keyed = node.select("key", "n_shingles", "id").join(comp, "id", "left")
     keyed = keyed.select("key", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "key").join(keyed, ["key", "n_shingles"], "left")
