@@ -1,0 +1 @@
+"""Empty: indexes are built and topics are answered in batches; there are no streams to process."""

@@ -241,3 +241,17 @@ def test_null_and_empty_documents(spark):
     assert {r.doc_id: r.doc_len for r in index.doc_stats.collect()} == {1: 0, 2: 0, 3: 2}
     none = build_index(docs.limit(0), persist=False)
     assert none.stats.first().n_docs == 0 and none.dictionary.isEmpty()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomrank.__main__ import main
+
+    corpus(spark, FIRST).write.parquet(f"{tmp_path}/docs")
+    (tmp_path / "topics").write_text("<DOC q>\nalpha\nbeta\ngamma\n</DOC>\n")
+    assert main(["build", f"{tmp_path}/docs", f"{tmp_path}/index"]) == 0
+    assert main(["impacts", f"{tmp_path}/index", "main"]) == 0
+    assert main(["retrieve", f"{tmp_path}/index", f"{tmp_path}/topics", f"{tmp_path}/run", "3"]) == 0
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/run").collect()]
+    assert [x.split("\t")[1] for x in lines] == ["6", "1", "2"]
+    assert "mean evaluated: 4.0" in capsys.readouterr().out
+    assert main([]) == 2
