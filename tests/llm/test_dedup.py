@@ -170,3 +170,15 @@ def test_lines(spark):
         cut = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if want.get((i, n), True))
         assert clean[i] == cut
     assert line_dedup.find_lines(docs.limit(0)).isEmpty()
+
+
+def test_exact_against_sql(spark, tmp_path):
+    import duckdb
+    from helpers import write_tables
+
+    rows = [r for r in awkward() if "\x00" not in (r[1] or "")]
+    path = write_tables(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.OP8_SQL})").fetchall()
+    assert {tuple(r) for r in exact_dedup.op8_exact_dedup(spark, path).collect()} == set(want)
