@@ -67,6 +67,111 @@ def test_learned_list(spark):
     assert quality_rules.quality_rules(frame_.limit(0), known)[0].isEmpty()
 
 
+def test_last_line_separator(spark):
+    """A blank before a final separator that isn't white space here: the separator is a word."""
+    texts = ["a b \u2028", "a b \x85", "a b \u2029", "a b \n", "\u2028 a\u2028b", "\r\n x \r\n"]
+    found = quality_rules.quality_rules(frame(spark, list(enumerate(texts))), spark.createDataFrame([], "doc_id long, quality int"))[0]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert found.columns[:8] == names
+    got = {r.doc_id: (r.n_words, r.word_chars) for r in found.collect()}
+    assert got == {i: stats_brute(t)[:2] for i, t in enumerate(texts)}
+
+
+def test_clashing_names(spark):
+    docs = frame(spark, labelled()[0]).selectExpr("*", "'a' AS stats", "1 AS i", "2 AS s", "3 AS y", "4 AS h", "5 AS STATS_")
+    known = spark.createDataFrame([(*x, 1, 2) for x in labelled()[1]], "doc_id long, quality int, toxic int, i int, y int")
+    kept = quality_rules.apply_rules(docs, known)
+    assert kept.columns == docs.columns
+    assert {(r.stats, r.i, r.s, r.y, r.h, r.STATS_) for r in kept.collect()} == {("a", 1, 2, 3, 4, 5)}
+
+
+def cover_brute(values, y, weight, aside, bins, max_rules, max_conditions, min_precision, min_rows):
+    """Sequential covering with lists and loops only."""
+    names, n_rows = list(quality_rules.FEATURES), len(y)
+
+    def cuts(f):
+        out = set()
+        for which in (None, 0, 1):
+            v = sorted(values[i][f] for i in range(n_rows) if which is None or y[i] == which)
+            out |= {v[max(0, math.ceil(len(v) * k / bins - 1e-9) - 1)] for k in range(1, bins)} if v else set()
+        return sorted(out)
+
+    edges = [cuts(f) for f in range(len(names))]
+    test = lambda i, c: values[i][c[0]] >= c[2] if c[1] == ">=" else values[i][c[0]] < c[2]
+
+    def sums(rows, conditions):
+        held = [i for i in rows if all(test(i, c) for c in conditions)]
+        return sum(weight[i] for i in held if y[i] == 0), sum(weight[i] for i in held if y[i] == 1), sum(y[i] == 0 for i in held)
+
+    left, rules, failed = list(range(n_rows)), [], set()
+    while len(rules) < max_rules:
+        chosen = []
+        for _ in range(max_conditions):
+            rows = [i for i in left if not aside[i]]
+            P, N, _ = sums(rows, chosen)
+            if not P or not N:
+                break
+            best = None
+            for f in range(len(names)):
+                if not chosen and f in failed:
+                    continue
+                for b, t in enumerate(edges[f]):
+                    for op in (">=", "<"):
+                        p, n, k = sums(rows, [*chosen, (f, op, t)])
+                        if k < min_rows or p + n >= (P + N) * (1 - 1e-12):
+                            continue
+                        gain = p * (math.log2(p / (p + n)) - math.log2(P / (P + N)))
+                        key = (round(gain, 9), round(p, 9), -f, -b, op)
+                        if gain > 1e-9 and (best is None or key > best[0]):
+                            best = (key, (f, op, t), n)
+            if not best:
+                break
+            chosen.append(best[1])
+            if best[2] <= 1e-9:
+                break
+        if not chosen:
+            break
+        value, kept = -2, None
+        for k in range(len(chosen), 0, -1):
+            p, n, _ = sums([i for i in left if aside[i]], chosen[:k])
+            now = (p - n) / (p + n) if p + n else -1
+            if now >= value:
+                value, kept = now, (chosen[:k], p, n)
+        conditions, p, n = kept
+        if not p + n or p < min_precision * (p + n):
+            failed.add(chosen[0][0])
+            continue
+        failed = set()
+        rules.append([(names[f], op, t) for f, op, t in conditions])
+        left = [i for i in left if not all(test(i, c) for c in conditions)]
+    return rules
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_covering(seed):
+    rng = np.random.default_rng(seed)
+    n = 150
+    values = np.round(rng.random((n, len(quality_rules.FEATURES))), 2)
+    y = np.where((values[:, 0] > 0.7) & (values[:, 3] < 0.6) | (values[:, 5] > 0.9), 0, 1)
+    y[rng.random(n) < 0.03] ^= 1
+    weight, aside = np.where(y == 0, 1.0, 2.5), rng.random(n) < 1 / 3
+    settings = dict(bins=16, max_rules=6, max_conditions=3, min_precision=0.8, min_rows=3)
+    got = quality_rules.cover(values, y, weight, aside, **settings)
+    want = cover_brute(values.tolist(), y.tolist(), weight.tolist(), aside.tolist(), **settings)
+    assert [r.conditions for r in got.rules] == want
+    assert want or seed == 4
+
+
+def test_sample_of_labels(spark):
+    """Fewer rows than there are teach alike, and every document is decided on."""
+    rows, labels = labelled(600)
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    table, rules = quality_rules.quality_rules(docs, known, per_class=60)
+    assert rules.rules and table.count() == 600
+    wrong = [r for r in table.collect() if r.kept != bool((r.doc_id - 10_000) % 4) and not r.base_failed]
+    assert len(wrong) <= 30
+
+
 def test_classifier(spark):
     rows, labels = labelled()
     docs, known = frame(spark, rows + awkward()), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
