@@ -172,6 +172,24 @@ def test_lines(spark):
     assert line_dedup.find_lines(docs.limit(0)).isEmpty()
 
 
+def test_line_family(spark):
+    """Thousands of variants of one line and copies of another; rows that share an id, null ids, one row a document."""
+    import random
+
+    rng = random.Random(4)
+    base = prose(rng, 30).split()
+    rows = [(i, "one line that all of them hold, word for word\n \n" + " ".join([*base[: i % 30], f"v{i}", *base[i % 30 + 1 :]])) for i in range(5000)]
+    rows += [(7, "another text\nof the same id as one above"), (None, rows[0][1]), (None, None), (9000, "")]
+    got = line_dedup.line_places(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None or (r.doc_id == 7 and len(r.hashes) == 2):
+            assert not r.gone
+        elif r.doc_id != 9000:
+            assert [x >> 32 for x in r.kept] == ([0, 2] if r.doc_id == 0 else []), r
+            assert [x >> 32 for x in r.gone] == ([] if r.doc_id == 0 else [0, 2]), r
+
+
 def test_exact_against_sql(spark, tmp_path):
     import duckdb
     from helpers import write_tables
