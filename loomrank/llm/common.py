@@ -76,6 +76,11 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def least_overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least number of common members of sets of n and m at a Jaccard similarity of percent."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,15 +5,22 @@ of n values takes n / 2 evaluations of every shingle; min and max are unbiased a
 correlated, so the estimate varies less. Bands of ROWS values make buckets; the number of bands follows from the
 threshold so that a pair at the threshold is missed with a probability of at most MISS.
 
-Equal sets are one node from the start. Within a bucket, members are first compared with a few leaders (the smallest
-id, then one drawn by hash), each confirmed on full sets; connected components follow, and only members of different
-components of a bucket are left. Those are compared on full sets in pairs of blocks of bounded size, each pair of
-documents once, and only links that join components leave a block. So each candidate pair is in one component already
-or was compared; no bucket is capped, and none is spread out into all its pairs of rows.
+Equal sets are one node from the start. Within a bucket, members are first compared with leaders (the smallest id, then
+one drawn by hash, as long as a fair part of such pairs links), each pair confirmed on full sets; connected components
+follow, and only members of buckets that still hold several components are left. An exact join of those on their
+shingles settles them: shingles are ordered by rarity, and two sets that reach the threshold share one of the first
+n - ceil(t n) + 1 of each, at places that allow the overlap. Semi-joins by shingle keep the rows that have such a
+partner in another component; their pairs are confirmed on full sets, those of groups beyond BLOCK rows in pairs of
+blocks. Each candidate pair is so in one component already, or compared, or ruled out by exact bounds; no bucket is
+capped, and none is spread out into all its pairs of rows.
+
+Shingles are told apart by 64-bit hashes, equal sets by 128 bits: among a billion distinct shingles, the probability that
+any two fall together is about 3 percent, and one such meeting changes an intersection by one.
 
 Cases: null and blank texts have no shingles and link with nothing; a text with fewer words than a shingle is one
-shingle of its whole sequence; texts of any length are read whole; rows that share an id are one document; a null id
-links with nothing and is kept; an empty table gives an empty result; extra columns are ignored.
+shingle of its whole sequence; texts of any length are read whole; rows that share an id are one document, which links
+by any of its texts; a null id links with nothing and is kept; an empty table gives an empty result; extra columns of
+any name are ignored, and in `keep_one` kept.
 """
 
 from __future__ import annotations
@@ -26,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, parts, python_ready, stage, whole_text
+from .common import drop, free_name, least_overlap, parts, python_ready, stage, whole_text
 from .components import connected_components
 from .shingles import mix, shingle_sets
 from .tokenizing import slices
 
 WORDS, THRESHOLD = 5, 80
 ROWS, MISS = 6, 1e-6
-LEADER_ROUNDS, BLOCK, PAIRS_PER_TASK = 2, 256, 512
+#: Rounds of leaders: at most, and another one if one pair in so many has linked.
+LEADER_ROUNDS, FAIR = 8, 20
+BLOCK, PAIRS_PER_TASK = 256, 512
+#: Hash buckets in which shingles are counted for their order.
+COUNTED = 1 << 18
 
 
 def n_bands(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -93,21 +104,27 @@ def _sign(words: int, rows: int, bands: int) -> Callable:
     return run
 
 
+def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _confirm(words: int, percent: int) -> Callable:
-    """Rows of (a, chunk) come together, the leader (role 0) first; yields the members that link with it."""
+    """Rows of (a, chunk) come together, the leader's texts (role 0) first; yields the members that link with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, lead_id = None, None
+        lead, group = [], None
         for b in slices(batches, "text", 1 << 20):
-            a, role, own = (b.column(c).to_pylist() for c in ("a", "role", "id"))
+            a, chunk, role, own = (b.column(c).to_pylist() for c in ("a", "chunk", "role", "id"))
             left, right = [], []
             for i, s in enumerate(shingle_sets(b.column("text"), words)):
                 if role[i] == 0:
-                    lead, lead_id = s, a[i]
+                    lead = [*lead, s] if group == (a[i], chunk[i]) else [s]
+                    group = (a[i], chunk[i])
                     continue
-                assert lead_id == a[i], "the leader comes first"
-                both = len(np.intersect1d(lead, s, assume_unique=True))
-                if both and 100 * both >= percent * (len(lead) + len(s) - both):
+                if group != (a[i], chunk[i]):
+                    raise ValueError("a leader's text has to come first")
+                if any(_links(x, s, percent) for x in lead):
                     left.append(a[i])
                     right.append(own[i])
             yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -150,36 +167,31 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(words: int, percent: int) -> Callable:
-    """Members of a pair of blocks of a bucket come together; yields links that join components.
+    """Rows of a pair of blocks of a shingle come together; yields links that join components.
 
-    A pair that shares several buckets is compared in the bucket of its first band only. Of the links found, those that
-    join what the pair of blocks has not joined yet are enough.
+    Of the links found, those that join what the pair of blocks has not joined yet are enough.
     """
 
     def block(rows: list[tuple]) -> tuple[list, list]:
-        bucket = rows[0][1]
-        i = [r for r in rows if r[2] == 0]
-        j = [r for r in rows if r[2] == 1] or i
+        i = [r for r in rows if r[1] == 0]
+        j = [r for r in rows if r[1] == 1] or i
         if not i:
             return [], []
-        id_i, n_i, c_i = (np.array([r[k] for r in i], np.int64) for k in (3, 4, 5))
-        id_j, n_j, c_j = (np.array([r[k] for r in j], np.int64) for k in (3, 4, 5))
+        id_i, n_i, c_i = (np.array([r[k] for r in i], np.int64) for k in (2, 3, 4))
+        id_j, n_j, c_j = (np.array([r[k] for r in j], np.int64) for k in (2, 3, 4))
         open_ = c_i[:, None] != c_j
         open_ &= 100 * np.minimum(n_i[:, None], n_j) >= percent * np.maximum(n_i[:, None], n_j)
         if j is i:
             open_ &= id_i[:, None] < id_j
         x, y = np.nonzero(open_)
-        if not len(x):
-            return [], []
-        b_i, b_j = (np.array([r[6] for r in side], np.int64) for side in (i, j))
-        first = b_i[x, (b_i[x] == b_j[y]).argmax(axis=1)] == bucket
-        x, y = x[first], y[first]
         if not len(x):
             return [], []
         ux, uy = np.unique(x), np.unique(y)
-        sets = [list(shingle_sets(pa.array([side[k][7] for k in u.tolist()]), words)) for side, u in ((i, ux), (j, uy))]
-        both = _overlaps(*sets)[np.searchsorted(ux, x), np.searchsorted(uy, y)]
-        link = (both > 0) & (100 * both >= percent * (n_i[x] + n_j[y] - both))
+        sets = [list(shingle_sets(pa.array([side[k][5] for k in u.tolist()]), words)) for side, u in ((i, ux), (j, uy))]
+        x, y = np.searchsorted(ux, x), np.searchsorted(uy, y)
+        size_i, size_j = (np.array([len(k) for k in side]) for side in sets)
+        both = _overlaps(*sets)[x, y]
+        link = (both > 0) & (100 * both >= percent * (size_i[x] + size_j[y] - both))
         left, right, root = [], [], {}
 
         def find(c: int) -> int:
@@ -187,7 +199,7 @@ def _compare(words: int, percent: int) -> Callable:
                 c = root[c]
             return c
 
-        for p, q in zip(x[link].tolist(), y[link].tolist(), strict=True):
+        for p, q in zip(ux[x[link]].tolist(), uy[y[link]].tolist(), strict=True):
             s, t = find(int(c_i[p])), find(int(c_j[q]))
             if s != t:
                 root[max(s, t)] = min(s, t)
@@ -197,7 +209,7 @@ def _compare(words: int, percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
-        names = ("group", "bucket", "side", "id", "n", "comp", "bands", "text")
+        names = ("group", "side", "id", "n", "comp", "text")
         for b in batches:
             left, right = [], []
             for r in zip(*(b.column(c).to_pylist() for c in names), strict=True):
@@ -213,22 +225,90 @@ def _compare(words: int, percent: int) -> Callable:
     return run
 
 
-def _block_pairs(mixed: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """mixed (bucket, id, n, comp, bands) with texts, dealt as pairs of blocks of a bucket."""
-    blocks = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    rows = mixed.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.join(found.select(F.col("doc_id").alias("id"), "text"), "id")
+def _block_pairs(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """rows (token, id, n, comp, k) with texts, dealt as pairs of the k blocks of a shingle."""
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)))
+    rows = rows.join(texts.select("id", "text"), "id")
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
     rows = rows.select(
-        F.xxhash64("bucket", lo, hi).alias("deal"),
-        F.concat_ws(":", "bucket", lo, hi).alias("group"),
+        F.xxhash64("token", lo, hi).alias("deal"),
+        F.concat_ws(":", "token", lo, hi).alias("group"),
         F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"),
-        "bucket", "id", "n", "comp", "bands", "text",
+        "id", "n", "comp", "text",
     )
     return rows.repartition(n, "deal").drop("deal").sortWithinPartitions("group", "side", "id")
 
 
+def _count_shingles(words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTED, np.int64)
+        for b in slices(batches, "text", 1 << 20):
+            for s in shingle_sets(b.column("text"), words):
+                np.add.at(total, (s & np.uint64(COUNTED - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
+
+    return run
+
+
+def _prefixes(words: int, percent: int, classes: np.ndarray) -> Callable:
+    """Each set's size and its rarest shingles, as many as one of has to be shared, in the order of rarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 20):
+            size, rare = [], []
+            for s in shingle_sets(b.column("text"), words):
+                n = len(s)
+                order = np.lexsort((s, classes[(s & np.uint64(COUNTED - 1)).astype(np.int64)]))
+                size.append(n)
+                rare.append(s[order[: n + (-percent * n // 100) + 1]].view(np.int64))
+            yield pa.record_batch(
+                [b.column("id"), b.column("comp"), pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
+                ["id", "comp", "n", "prefix"],
+            )
+
+    return run
+
+
+def _links_left(left: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components among left (id, comp), by an exact join of their sets."""
+    n = parts(left.sparkSession)
+    texts = stage(found.withColumnRenamed("doc_id", "id").join(left, "id").select("id", "comp", "text"), "minhash-left")
+    counts = texts.select("text").mapInArrow(_count_shingles(words), "bucket long, n long").groupBy("bucket").agg(F.sum("n"))
+    classes = np.zeros(COUNTED, np.uint8)
+    for bucket, c in counts.collect():  # at most COUNTED rows
+        classes[bucket] = min(255, int(8 * math.log2(c + 1)))
+    prefix = texts.mapInArrow(_prefixes(words, percent, classes), "id long, comp long, n long, prefix array<long>")
+    every = stage(prefix.select("id", "comp", "n", F.posexplode("prefix").alias("p", "token")), "minhash-prefix")
+    # shingles that several components hold, with the one of most rows
+    held = every.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    held = held.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    rows = stage(every.join(held.select("token", F.col("top.comp").alias("main")), "token"), "minhash-shared")
+    size, other, at, there = (F.col(c) for c in ("a.n", "b.n", "a.p", "b.p"))
+    meet = (
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.comp") != F.col("b.comp"))
+        & (F.least(size - at, other - there) >= least_overlap(size, other, percent))
+    )
+    # one side is outside the main component, so rows of that one aren't held against each other
+    minor = rows.filter("comp <> main")
+    asked = minor.alias("a").join(rows.alias("b"), meet, "left_semi")
+    asking = rows.filter("comp = main").alias("a").join(minor.alias("b"), meet, "left_semi")
+    near = stage(asked.unionByName(asking).select("token", "id", "comp", "n", "p"), "minhash-near")
+    blocks = near.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    few = stage(near.join(blocks, "token"), "minhash-blocks")
+    small = few.filter("k = 1")  # so a row meets fewer than BLOCK others
+    pairs = small.alias("a").join(small.alias("b"), meet & (F.col("a.id") < F.col("b.id")))
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    links = confirm_links(pairs, found, words, percent)
+    large = _block_pairs(few.filter("k > 1").select("token", "id", "n", "comp", "k").distinct(), texts, n)
+    more = stage(large.mapInArrow(_compare(words, percent), "a long, b long"), "minhash-links")
+    for spent in (texts, every, rows, near, few):
+        drop(spent)
+    return links.unionByName(more)
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -268,41 +348,37 @@ def near_duplicates(
     found = stage(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "minhash-texts")
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    pairs = members.filter((F.col("id") != F.col("lead")) & fits(F.col("n"), F.col("lead_n")))
+    pairs = pairs.select(F.col("lead").alias("a"), F.col("id").alias("b"))
     links = None
-    comp = None
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn == 0:
-            pairs = members.filter((F.col("id") != F.col("lead")) & fits(F.col("n"), F.col("lead_n")))
-            pairs = pairs.select(F.col("lead").alias("a"), F.col("id").alias("b"))
-        else:
-            placed = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("bucket", "id", "n", "comp")
-            state = placed.groupBy("bucket").agg(
-                F.min("comp").alias("c0"),
-                F.max("comp").alias("c1"),
-                F.count("*").alias("c"),
-                F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("lead"),
-            )
-            # two members whose pair was compared in the first turn are done
-            state = state.filter("c0 <> c1 and c > 2").drop("c0", "c1", "c")
-            mixed = stage(placed.join(state, "bucket"), "minhash-mixed")
-            if mixed.isEmpty():
-                break
-            if turn < LEADER_ROUNDS:
-                pairs = mixed.filter(
-                    (F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n"))
-                ).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-        if turn < LEADER_ROUNDS:
-            new = confirm_links(pairs.distinct(), found, words, percent)
-        else:
-            own = mixed.select("bucket", "id", "n", "comp").join(node.select("id", "bands"), "id")
-            new = stage(_block_pairs(own, found, n).mapInArrow(_compare(words, percent), "a long, b long"), "minhash-links")
+    spent = [signed, node, members, found]
+    for turn in range(1, LEADER_ROUNDS + 1):
+        pairs = stage(pairs.distinct(), "minhash-pairs")
+        new = confirm_links(pairs, found, words, percent)
         links = new if links is None else links.unionByName(new)
-        comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(
-            F.col("node").alias("id"), F.col("component").alias("comp")
+        comp = _components(links)
+        placed = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("bucket", "id", "n", "comp")
+        state = placed.groupBy("bucket").agg(
+            F.min("comp").alias("c0"),
+            F.max("comp").alias("c1"),
+            F.count("*").alias("c"),
+            F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "comp")).alias("lead"),
         )
+        # two members whose pair was compared in the first turn are done
+        state = state.filter("c0 <> c1 and c > 2").drop("c0", "c1", "c")
+        mixed = stage(placed.join(state, "bucket"), "minhash-mixed")
+        spent += [pairs, mixed, comp]
+        if mixed.isEmpty():
+            break
+        if turn == LEADER_ROUNDS or new.count() * FAIR < pairs.count():
+            left = mixed.groupBy("id").agg(F.min("comp").alias("comp"))
+            links = links.unionByName(_links_left(left, found, words, percent))
+            comp = _components(links)
+            spent.append(comp)
+            break
+        pairs = mixed.filter((F.col("comp") != F.col("lead.comp")) & fits(F.col("n"), F.col("lead.n")))
+        pairs = pairs.select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
 
-    drop(members)
-    drop(found)
     keyed = node.select("key", "n_shingles", "id").join(comp, "id", "left")
     keyed = keyed.select("key", "n_shingles", F.coalesce("comp", "id").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "key").join(keyed, ["key", "n_shingles"], "left")
@@ -311,15 +387,44 @@ def near_duplicates(
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"),
     )
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    out = stage(out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))), "minhash-result")
+    for table in (*spent, links):
+        drop(table)
+    return out
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(id, comp) of every linked document."""
+    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.select(F.col("node").alias("id"), F.col("component").alias("comp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that stay, with all their columns: one document of each component."""
-    gone = near_duplicates(docs, id_col, text_col, **kw).filter("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, id_col, text_col, **kw).filter("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, words=3, percent=85)
+
+
+#: The same by SQL, on sets of words themselves: intersections counted by shingle, components by reachability.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS s FROM w),
+g AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM s GROUP BY s),
+t AS (SELECT id, n, unnest(s) AS x FROM g),
+e AS (SELECT a.id AS u, b.id AS v FROM t a JOIN t b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n
+      HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(id, v) AS (SELECT id, id FROM g WHERE n > 0 UNION SELECT r.id, ways.v FROM r JOIN ways ON r.v = ways.u),
+c AS (SELECT id, min(v) AS comp FROM r GROUP BY id)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(comp, doc_id) AS component_id, coalesce(comp, doc_id) = doc_id AS kept
+FROM s JOIN g USING (s) LEFT JOIN c USING (id)
+"""

@@ -32,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op1_minhash_dedup": minhash_dedup.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
