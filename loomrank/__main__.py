@@ -1,4 +1,4 @@
-"""python -m loomrank build DOCUMENTS INDEX | impacts INDEX NAME | retrieve INDEX TOPICS RUN [K] [tiered|rerank|exact]
+"""python -m loomrank build DOCUMENTS INDEX [stem] | impacts INDEX NAME | ranges INDEX NAME [SIZE LEAST_DF] | retrieve INDEX TOPICS RUN [K] [tiered|rerank|exact]
 
 Runs in the session that spark-submit gives, or a local one.
 """
@@ -35,14 +35,16 @@ def retrieve(spark: SparkSession, index_path: str, topics_path: str, run_path: s
 
 
 def main(args: list[str]) -> int:
-    if len(args) < 3 or args[0] not in ("build", "impacts", "retrieve"):
+    if len(args) < 3 or args[0] not in ("build", "impacts", "ranges", "retrieve"):
         print(__doc__)
         return 2
     spark = SparkSession.builder.appName("loomrank").getOrCreate()
     if args[0] == "build":
-        index_store.save_index(build_index(spark.read.parquet(args[1])), args[2])
+        index_store.save_index(build_index(spark.read.parquet(args[1]), stem="stem" in args[3:]), args[2])
     elif args[0] == "impacts":
         index_store.save_impacts(index_store.load_index(spark, args[1]), args[1], args[2])
+    elif args[0] == "ranges":
+        index_store.save_ranges(index_store.load_index(spark, args[1]), args[1], args[2], *[int(x) for x in args[3:5]])
     else:
         retrieve(spark, *args[1:4], *[int(x) for x in args[4:5]], *args[5:6])
     return 0

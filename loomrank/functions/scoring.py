@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +40,27 @@ def tf_pivoted(tf: Column, doc_len: Column, avg_len: Column, b: float = B) -> Co
 def dirichlet(tf: Column, doc_len: Column, cf: Column, total: Column, mu: float = 2500.0) -> Column:
     """Log-probability of a term under a Dirichlet-smoothed model; tf 0 for a term that doesn't occur."""
     return F.log((tf + mu * cf / total) / (doc_len + mu))
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """A ranking function: a term's weight from (n_docs, df, qtf) times a posting's from (tf, doc_len, avg_len)."""
+
+    term: Callable[[Column, Column, Column], Column]
+    posting: Callable[[Column, Column, Column], Column]
+
+
+def bm25(k1: float = K1, b: float = B, k3: float | None = None) -> Scorer:
+    """BM25; k3: repeated query terms count more, with saturation."""
+    return Scorer(
+        lambda n, df, qtf: idf(n, df) if k3 is None else idf(n, df) * qtf_weight(qtf, k3),
+        lambda tf, length, avg: tf_weight(tf, length, avg, k1, b),
+    )
+
+
+def pivoted(b: float = B) -> Scorer:
+    """Pivoted length normalisation with plain idf and query term counts."""
+    return Scorer(lambda n, df, qtf: idf_plain(n, df) * qtf, lambda tf, length, avg: tf_pivoted(tf, length, avg, b))
+
+
+BM25 = bm25()

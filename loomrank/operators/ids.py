@@ -1,8 +1,8 @@
-"""Dense numbers in a sort order without a global sort in one task."""
+"""Dense numbers in a sort order, and running values along posting lists, without a whole list in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,36 @@ def number_rows(df: DataFrame, name: str, *order, first: int = 1) -> DataFrame:
     sizes = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     out = rows.join(F.broadcast(sizes), "__p")  # one row a partition
     return out.withColumn(name, F.col("__before") + F.col("__r") + first).drop("__m", "__p", "__r", "__before")
+
+
+#: Documents in a piece of a posting list: a task sorts pieces, so the longest list is spread over many.
+PIECE = 1 << 20
+
+
+def pieced(rows: DataFrame, size: int = PIECE) -> DataFrame:
+    """rows (term, doc_id, ...) with piece: a range of `size` document numbers."""
+    return rows.withColumn("piece", F.floor(F.col("doc_id") / size).cast("long"))
+
+
+def running(rows: DataFrame, name: str, value: Column, size: int = PIECE) -> DataFrame:
+    """rows with the sum of value over a term's rows up to this one, in document order.
+
+    Sums run within pieces; a term's earlier pieces, one row each, are added to them.
+    """
+    rows = pieced(rows, size)
+    upto = Window.partitionBy("term", "piece").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("term").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("term", "piece").agg(F.sum(value).alias("own"))
+    ahead = ahead.select("term", "piece", F.sum("own").over(earlier).alias("ahead")).filter("ahead is not null")
+    out = rows.withColumn(name, F.sum(value).over(upto)).join(ahead, ["term", "piece"], "left")
+    return out.withColumn(name, F.col(name) + F.coalesce("ahead", F.lit(0))).drop("piece", "ahead")
+
+
+def before(rows: DataFrame, name: str, size: int = PIECE) -> DataFrame:
+    """rows with the document before this one in the term's list, null for the first."""
+    rows = pieced(rows, size)
+    last = rows.groupBy("term", "piece").agg(F.max("doc_id").alias("piece_last"))
+    last = last.select("term", "piece", F.lag("piece_last").over(Window.partitionBy("term").orderBy("piece")).alias("piece_last"))
+    out = rows.withColumn(name, F.lag("doc_id").over(Window.partitionBy("term", "piece").orderBy("doc_id")))
+    out = out.join(last.filter("piece_last is not null"), ["term", "piece"], "left")
+    return out.withColumn(name, F.coalesce(name, "piece_last")).drop("piece", "piece_last")

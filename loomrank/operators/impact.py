@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomrank.functions.scoring import idf, tf_weight
 
+from .ids import PIECE, before, running
 from .index import Index
 
 BLOCK = 64
@@ -33,8 +34,8 @@ def weighted(index: Index) -> DataFrame:
 
 def numbered(postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """postings with block_no, from 0: a run of `block` postings of a term in document order."""
-    place = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
-    return postings.withColumn("block_no", F.floor((place - 1) / block).cast("long"))
+    rows = running(postings, "place", F.lit(1))
+    return rows.withColumn("block_no", F.floor((F.col("place") - 1) / block).cast("long")).drop("place")
 
 
 def block_info(index: Index, block: int = BLOCK) -> DataFrame:
@@ -80,25 +81,20 @@ def score_quantize(ranges: DataFrame) -> DataFrame:
 
 def gap_encode(postings: DataFrame) -> DataFrame:
     """Gaps between documents of a list (less one) and frequencies less one."""
-    before = F.lag(doc_ord(), 1, 0).over(Window.partitionBy("term").orderBy("doc_id"))
-    return postings.select(
-        "term", "doc_id", (doc_ord() - before - 1).alias("gap"), (F.col("tf") - 1).alias("tf_less")
-    )
+    rows = before(postings, "previous")
+    gap = doc_ord() - F.coalesce(doc_ord("previous"), F.lit(0)) - 1
+    return rows.select("term", "doc_id", gap.cast("long").alias("gap"), (F.col("tf") - 1).alias("tf_less"))
 
 
 def gap_decode(gaps: DataFrame) -> DataFrame:
     """Documents and frequencies back from gaps in list order."""
-    order = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select(
-        "term", F.sum(F.col("gap") + 1).over(order).alias("doc_ord"), (F.col("tf_less") + 1).alias("tf")
-    )
+    rows = running(gaps, "doc_ord", F.col("gap") + 1)
+    return rows.select("term", "doc_ord", (F.col("tf_less") + 1).alias("tf"))
 
 
 def block_bits(postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """By term and block: the width that holds nine tenths of the gaps, and the bytes that the largest needs beyond."""
-    gaps = gap_encode(postings)
-    place = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
-    gaps = gaps.withColumn("block_no", F.floor((place - 1) / block).cast("long"))
+    gaps = numbered(gap_encode(postings), block)
     out = gaps.groupBy("term", "block_no").agg(
         F.sort_array(F.collect_list("gap")).alias("all"), F.count("*").alias("n"), F.max("gap").alias("max_gap")
     )  # at most `block` values a row
@@ -113,12 +109,19 @@ def block_bits(postings: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("term", "block_no", "n", F.col("cut").alias("cut_gap"), "max_gap", "bits", extra.alias("extra_bytes"))
 
 
-def block_seek(blocks: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target (term, doc_id): the first block whose last document isn't before it, none beyond the list."""
-    before = F.lag("last_doc_id").over(Window.partitionBy("term").orderBy("block_no"))
-    spans = blocks.select("term", "block_no", "last_doc_id", F.coalesce(before, F.lit(-1)).alias("after"))
-    inside = (F.col("doc_id") > F.col("after")) & (F.col("doc_id") <= F.col("last_doc_id"))
-    t = targets.withColumnRenamed("term", "__term")
-    return t.join(spans, (F.col("__term") == F.col("term")) & inside, "left").select(
-        *[F.col("__term").alias("term") if c == "term" else F.col(c) for c in targets.columns], "block_no"
-    )
+def block_seek(blocks: DataFrame, targets: DataFrame, size: int = PIECE) -> DataFrame:
+    """For each target (term, doc_id): the first block whose last document isn't before it, none beyond the list.
+
+    Targets and blocks are sorted together by document, in pieces of a list, and each target takes the block that comes
+    next, or the first of a later piece.
+    """
+    marks = blocks.select("term", F.col("last_doc_id").alias("at"), F.lit(1).alias("kind"), "block_no")
+    asks = targets.select("term", F.col("doc_id").alias("at"), F.lit(0).alias("kind"), F.struct(*targets.columns).alias("target"))
+    rows = asks.unionByName(marks, allowMissingColumns=True).withColumn("piece", F.floor(F.col("at") / size).cast("long"))
+    inside = Window.partitionBy("term", "piece").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("term").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+    pieces = rows.groupBy("term", "piece").agg(F.min("block_no").alias("first"))
+    pieces = pieces.select("term", "piece", F.first("first", ignorenulls=True).over(later).alias("later"))
+    found = rows.withColumn("next", F.first("block_no", ignorenulls=True).over(inside)).filter("kind = 0")
+    found = found.join(pieces.filter("later is not null"), ["term", "piece"], "left")
+    return found.select("target.*", F.coalesce("next", "later").alias("block_no"))

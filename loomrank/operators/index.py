@@ -20,13 +20,14 @@ STOPWORDS = ("a", "and", "de", "der", "die", "in", "is", "la", "of", "que", "the
 @dataclass
 class Index:
     """postings (term, doc_id, tf), doc_stats (doc_id, doc_len), dictionary (term, term_id, df, cf), doc_names (doc_id,
-    docno), stats (one row: n_docs, n_terms, total_tokens, avg_doc_len, max_df, max_cf)."""
+    docno), stats (one row: n_docs, n_terms, total_tokens, avg_doc_len, max_df, max_cf). stemmed: terms are stems, and those of topics become stems too."""
 
     postings: DataFrame
     doc_stats: DataFrame
     dictionary: DataFrame
     doc_names: DataFrame
     stats: DataFrame
+    stemmed: bool = False
 
 
 def build_index(
@@ -47,7 +48,7 @@ def build_index(
         tokens(F.col(text_col)).alias("terms"),
         name((F.col(name_col) if name_col else F.col(id_col)).cast("string")).alias("docno"),
     )
-    occurrences = docs.select("doc_id", F.explode("terms").alias("term"))
+    occurrences = docs.select("doc_id", F.explode("terms").alias("term")).withColumn("term", name(F.col("term")))
     postings = occurrences.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     if stem:
         send_package(documents.sparkSession)
@@ -60,7 +61,8 @@ def build_index(
     dictionary = number_rows(counted, "term_id", F.desc("cf"), F.asc("term")).select("term", "term_id", "df", "cf")
     if persist:
         dictionary = dictionary.persist()
-    return Index(postings, doc_stats, dictionary, docs.select("doc_id", "docno"), collection_stats(doc_stats, dictionary))
+    stats = collection_stats(doc_stats, dictionary)
+    return Index(postings, doc_stats, dictionary, docs.select("doc_id", "docno"), stats, stem)
 
 
 def collection_stats(doc_stats: DataFrame, dictionary: DataFrame) -> DataFrame:

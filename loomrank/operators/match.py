@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomrank.functions.scoring import idf, tf_weight
-from loomrank.functions.stemmer import stem
+from loomrank.functions.scoring import BM25, Scorer
+from loomrank.functions.stemmer import stem, stem_column
+from loomrank.session import send_package
 
 from .index import Index
 
@@ -29,16 +30,25 @@ def term_lookup(topics: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def stem_topics(topics: DataFrame) -> DataFrame:
     """Topics with stemmed terms; equal stems stay apart, as their terms were."""
-    rows = [(r.topic, r.pos, stem(r.term), r.qtf) for r in topics.collect()]  # a batch of queries is small
-    return topics.sparkSession.createDataFrame(rows, topics.schema)
+    spark = topics.sparkSession
+    if topics.limit(SMALL + 1).count() <= SMALL:
+        rows = [(r.topic, r.pos, stem(r.term), r.qtf) for r in topics.collect()]
+        return spark.createDataFrame(rows, topics.schema)
+    send_package(spark)
+    terms = topics.select("term").distinct().withColumn("stem", stem_column("term"))
+    return topics.join(terms, "term").select("topic", "pos", F.col("stem").alias("term"), "qtf")
 
 
-def query_plan(topics: DataFrame, index: Index) -> DataFrame:
-    """Known terms of each topic, rarest first, with suffix_g: the most that the terms from here on can add."""
+def query_plan(topics: DataFrame, index: Index, scorer: Scorer = BM25) -> DataFrame:
+    """Known terms of each topic, rarest first, with suffix_g: the most that the terms from here on can add.
+
+    Over a stemmed index, terms are stemmed first.
+    """
+    topics = stem_topics(topics) if index.stemmed else topics
     few = topics.limit(SMALL + 1).count() <= SMALL
     terms = index.dictionary.join(F.broadcast(topics) if few else topics, "term")
     terms = terms.crossJoin(F.broadcast(index.stats.select("n_docs")))
-    terms = terms.withColumn("g", idf(F.col("n_docs"), F.col("df")))
+    terms = terms.withColumn("g", scorer.term(F.col("n_docs"), F.col("df"), F.col("qtf")))
     order = Window.partitionBy("topic").orderBy(F.desc("g"), "term", "pos")
     rest = order.rowsBetween(0, Window.unboundedFollowing)
     plan = terms.select(
@@ -55,15 +65,15 @@ def term_postings(plan: DataFrame, index: Index) -> DataFrame:
     return index.postings.join(if_small(plan), "term")
 
 
-def matches(plan: DataFrame, index: Index) -> DataFrame:
+def matches(plan: DataFrame, index: Index, scorer: Scorer = BM25) -> DataFrame:
     """(topic, doc_id, tier, mask, n_matched, score) of every document that has a term of the topic.
 
     One aggregate of partial sums over (topic, doc_id): the union of the lists, the matched subset as bits, its tier
-    score, and BM25.
+    score, and the sum of the scorer's weights (BM25 unless another is given, to the plan as well).
     """
     s = F.broadcast(index.stats.select("avg_doc_len"))
     rows = term_postings(plan, index).join(index.doc_stats, "doc_id").crossJoin(s)
-    w = tf_weight(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
+    w = scorer.posting(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
     return rows.groupBy("topic", "doc_id").agg(
         F.round(F.sum("g"), DIGITS).alias("tier"),
         F.sum(F.pow(F.lit(2.0), F.col("pos"))).cast("long").alias("mask"),
@@ -75,7 +85,7 @@ def matches(plan: DataFrame, index: Index) -> DataFrame:
 def and_match(found: DataFrame, plan: DataFrame) -> DataFrame:
     """Documents that have all known terms of the topic."""
     sizes = plan.groupBy("topic").agg(F.count("*").alias("n_terms"))
-    return found.join(F.broadcast(sizes), "topic").filter("n_matched = n_terms").drop("n_terms")
+    return found.join(if_small(sizes), "topic").filter("n_matched = n_terms").drop("n_terms")
 
 
 def tier_masks(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Every query reads the whole table. The index of a data folder is built once a se
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,9 @@ def _block_seek(spark: SparkSession, d: str) -> DataFrame:
     index, plan = index_of(spark, d), _plan(spark, d)
     first = match.term_postings(plan.filter("rank = 1"), index).select("topic", "doc_id")
     targets = first.join(plan.filter("rank > 1").select("topic", "term"), "topic")
-    return impact.block_seek(impact.block_info(index), targets).select("topic", "term", "doc_id", "block_no")
+    asked = plan.filter("rank > 1").select("term").distinct()
+    lists = replace(index, postings=index.postings.join(match.if_small(asked), "term", "left_semi"))
+    return impact.block_seek(impact.block_info(lists), targets).select("topic", "term", "doc_id", "block_no")
 
 
 def _stems(spark: SparkSession, d: str) -> DataFrame:
@@ -138,8 +141,8 @@ _INDEX = r"""
 doc AS (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'),
                lambda x: x <> '') AS terms FROM documents),
 dl AS (SELECT doc_id, len(terms)::BIGINT AS doc_len FROM doc),
-post AS (SELECT term, doc_id, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM doc)
-         GROUP BY term, doc_id),
+post AS (SELECT term, doc_id, count(*)::BIGINT AS tf
+         FROM (SELECT doc_id, substring(unnest(terms), 1, 255) AS term FROM doc) GROUP BY term, doc_id),
 voc AS (SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term),
 dict AS (SELECT term, row_number() OVER (ORDER BY cf DESC, term)::BIGINT AS term_id, df, cf FROM voc),
 st AS (SELECT count(*)::BIGINT AS n_docs, sum(doc_len)::BIGINT AS total_tokens, avg(doc_len) AS avg_doc_len FROM dl)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "topic string, pos int, term string, qtf long"
 
@@ -51,3 +52,14 @@ def topic_of_terms(spark: SparkSession, topic: str, terms: Iterable[str]) -> Dat
     for t in terms:
         counts[t] = counts.get(t, 0) + 1
     return topic_frame(spark, _rows(topic, counts))
+
+
+def topic_names(topics: DataFrame) -> list[str]:
+    """The topics' names in order; as many as there are topics."""
+    return [r.topic for r in topics.select("topic").distinct().orderBy("topic").collect()]
+
+
+def topic_at(topics: DataFrame, number: int) -> DataFrame:
+    """The terms of a topic by its place (from 0) among the names in order; none beyond the last."""
+    names = topic_names(topics)
+    return topics.filter(F.col("topic") == names[number]) if 0 <= number < len(names) else topics.limit(0)

@@ -255,3 +255,87 @@ def test_command_line(spark, tmp_path, capsys):
     assert [x.split("\t")[1] for x in lines] == ["6", "1", "2"]
     assert "mean evaluated: 4.0" in capsys.readouterr().out
     assert main([]) == 2
+
+
+def test_stems_end_to_end(spark, tmp_path):
+    """A stemmed index stems its topics, also when it is stored, and from the command line."""
+    from loomrank.__main__ import main
+
+    texts = ["running runners ran", "the runner runs", "hopping hops", "relational relation", "nothing here"]
+    docs = corpus(spark, texts)
+    index = build_index(docs, stem=True, persist=False)
+    plan = match.query_plan(topic_frame(spark, [("T", 0, "runs", 1), ("T", 1, "running", 1), ("T", 2, "hop", 1)]), index)
+    assert {(r.pos, r.term) for r in plan.collect()} == {(0, "run"), (1, "run"), (2, "hop")}
+    assert {r.doc_id for r in match.matches(plan, index).collect()} == {1, 2, 3}
+    docs.write.parquet(f"{tmp_path}/docs")
+    (tmp_path / "topics").write_text("<DOC Q>\nrelating\nhopped\n</DOC>\n")
+    assert main(["build", f"{tmp_path}/docs", f"{tmp_path}/index", "stem"]) == 0
+    assert index_store.load_index(spark, f"{tmp_path}/index").stemmed
+    assert main(["retrieve", f"{tmp_path}/index", f"{tmp_path}/topics", f"{tmp_path}/run"]) == 0
+    assert {r.value.split("\t")[1] for r in spark.read.text(f"{tmp_path}/run").collect()} >= {"3"}
+
+
+def test_large_batches_of_topics_stem_alike(spark, monkeypatch):
+    topics = topic_frame(spark, [("A", 0, "running", 1), ("A", 1, "runs", 2), ("B", 0, "relational", 1)])
+    want = sorted(map(tuple, match.stem_topics(topics).collect()))
+    monkeypatch.setattr(match, "SMALL", 1)
+    assert sorted(map(tuple, match.stem_topics(topics).collect())) == want == [("A", 0, "run", 1), ("A", 1, "run", 2), ("B", 0, "relat", 1)]
+
+
+def test_pieces_of_lists(spark):
+    """Running values and seeks don't depend on how lists are cut."""
+    from loomrank.operators import ids as numbers
+
+    rows = spark.createDataFrame([(t, d, d % 3 + 1) for t in "ab" for d in range(0, 90, 1 if t == "a" else 7)], "term string, doc_id long, tf long")
+    for size in (1, 8, 1 << 20):
+        got = numbers.before(numbers.running(rows, "upto", F.col("tf"), size), "last", size)
+        for t in "ab":
+            total, last = 0, None
+            for r in sorted((r for r in got.collect() if r.term == t), key=lambda r: r.doc_id):
+                total += r.tf
+                assert (r.upto, r["last"]) == (total, last)
+                last = r.doc_id
+    blocks = spark.createDataFrame([("a", 0, 10), ("a", 1, 20), ("a", 2, 50), ("b", 0, 3)], "term string, block_no long, last_doc_id long")
+    asks = [("a", d) for d in (0, 10, 11, 20, 21, 49, 50, 51)] + [("b", 3), ("b", 4), ("c", 1)]
+    targets = spark.createDataFrame([(t, d, "x") for t, d in asks], "term string, doc_id long, more string")
+    want = dict(zip(asks, [0, 0, 1, 1, 2, 2, 2, None, 0, None, None], strict=True))
+    for size in (1, 8, 1 << 20):
+        got = impact.block_seek(blocks, targets, size)
+        assert got.columns == ["term", "doc_id", "more", "block_no"]
+        assert {(r.term, r.doc_id): r.block_no for r in got.collect()} == want
+
+
+def test_scorers(spark):
+    import math
+
+    from loomrank.functions.scoring import bm25, pivoted
+
+    index = build_index(corpus(spark, FIRST), persist=False)
+    topics = topic_frame(spark, [("T", 0, "alpha", 2)])
+    g = math.log((10 - 3 + 0.5) / 3.5)
+    avg = sum(len(t.split()) for t in FIRST) / 10
+    for scorer, weight in (
+        (bm25(k1=2.0, b=0.5), lambda tf, n: g * 3 * tf / (2 * (0.5 + 0.5 * n / avg) + tf)),
+        (bm25(k3=7.0), lambda tf, n: g * 16 / 9 * 2.2 * tf / (1.2 * (0.8 + 0.2 * n / avg) + tf)),
+        (pivoted(), lambda tf, n: math.log(11 / 3) * 2 * (1 + math.log(1 + math.log(tf))) / (0.8 + 0.2 * n / avg)),
+    ):
+        found = match.matches(match.query_plan(topics, index, scorer), index, scorer)
+        got = {r.doc_id: r.score for r in found.collect()}
+        assert got == pytest.approx({1: weight(1, 2), 2: weight(2, 3), 6: weight(1, 3)}, abs=1e-6)
+
+
+def test_lookups_by_number_and_ranges(spark, tmp_path):
+    from loomrank.sources.topics import topic_at, topic_names
+
+    index = build_index(corpus(spark, [*FIRST, "z" * 300, "z" * 255]), persist=False)
+    assert {(r.term, r.df) for r in index.dictionary.filter("length(term) > 50").collect()} == {("z" * 255, 2)}
+    term = index.dictionary.filter("term_id = 2").first().term
+    assert index_store.term_of(index, 2) == term and index_store.term_of(index, 999) == ""
+    assert index_store.posting_list_of(index, 2).collect() == index_store.posting_list(index, term).collect()
+    topics = topic_frame(spark, [("B", 0, "x", 1), ("A", 0, "y", 1)])
+    assert topic_names(topics) == ["A", "B"]
+    assert [r.topic for r in topic_at(topics, 1).collect()] == ["B"] and topic_at(topics, 2).isEmpty()
+    index_store.save_ranges(index, str(tmp_path), "small", 4, 2)
+    bounds, size, n = index_store.load_ranges(spark, str(tmp_path), "small")
+    assert (size, n) == (4, 4)
+    assert sorted(map(tuple, bounds.collect())) == sorted(map(tuple, impact.doc_block_info(index, 4, 2).collect()))
