@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; run() writes each stage's
 result as Parquet in the shared folder and reads it back for the next, so a lost executor costs one stage at most.
+
+Cases, by stage. A null or blank text fails the base rules and goes with the first stage, so the others see none, but
+take it as empty. Texts of any length pass whole. Without labelled rows of both kinds no rule is learned, and the base
+rules alone decide. Of equal texts the smallest id stays, and of rows that share that id one; near copies likewise,
+where rows that share an id are one document. A null id is kept by near deduplication and packed like any other.
+Extra columns of any name pass all stages but the last, which returns its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrank.llm import exact_dedup, minhash_dedup, packing, quality_rules, secret_scan
-from loomrank.llm.common import stage
+from loomrank.llm.common import free_name, stage
 
 #: No SQL expresses learned rules, min-max hashing and byte-pair encoding; tests hold run() against plain Python.
 ORACLE_SQL = None
@@ -37,10 +43,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars counted anew where there were any."""
-    out = secret_scan.redact(docs.withColumn("__old", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("__old"))
+    old = free_name(docs, "old")
+    out = secret_scan.redact(docs.withColumn(old, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(old))
     n = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n).drop("__old")
+    return out.withColumn("n_chars", n).drop(old)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
