@@ -3,7 +3,8 @@
 A text's segmentations are the paths of the lattice of a model's pieces over the normalised text, a path's score the
 sum of its pieces' stored scores. Forward Viterbi gives, for every place, the best score from the start; backward A*
 search from the end takes partial paths in the order of their own score plus that forward score, which is exact, so
-paths complete in order, best first.
+paths complete in order, best first. No place is opened more than N times, as N paths that are no worse go on from there,
+so a stretch of many equally good segmentations takes time in proportion to its length.
 
 No piece of the model spans the start of a word, a line end, or a letter and a plain mark (checked against its pieces
 when it is loaded), so the lattice falls apart into stretches there and the N best of a text combine those of its
@@ -57,7 +58,7 @@ class Lattice:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        sp = SentencePieceProcessor(model_file=path)
+        self.library = sp = SentencePieceProcessor(model_file=path)
         size = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -122,9 +123,13 @@ class Lattice:
             forward.append(max(forward[s] + score for s, score, _ in ends[e]))
         out: list[tuple[float, tuple[int, ...]]] = []
         turn = 0
-        agenda = [(-forward[-1], turn, len(text), 0.0, None)]
+        opened = [0] * (len(text) + 1)
+        agenda = [(-forward[-1], len(text), turn, 0.0, None)]  # of equal ones, the nearest to completion first
         while agenda and len(out) < n:
-            _, _, at, score, tail = heapq.heappop(agenda)
+            _, at, _, score, tail = heapq.heappop(agenda)
+            if opened[at] == n:  # n paths that are no worse go through here already
+                continue
+            opened[at] += 1
             if at == 0:
                 ids: list[int] = []
                 while tail:
@@ -134,7 +139,8 @@ class Lattice:
                 continue
             for start, s, ids in ends[at]:
                 turn += 1
-                heapq.heappush(agenda, (-(forward[start] + s + score), turn, start, s + score, (ids, tail)))
+                if opened[start] < n:
+                    heapq.heappush(agenda, (-(forward[start] + s + score), start, turn, s + score, (ids, tail)))
         return out
 
     # many stretches
@@ -307,19 +313,23 @@ def _digest(path: str, n: int) -> Callable:
         model = lattice(path)
         for b in slices(batches, "text"):
             texts = pc.fill_null(b.column("text"), "")
-            size, best, scores, crcs, same = [], [], [], [], []
+            size, best, scores, crcs, same, own, agree = [], [], [], [], [], [], []
             for found, text in zip(model.encode(texts, n), texts.to_pylist(), strict=True):
+                known = np.array(model.library.encode(text), np.int64)
+                own.append(len(known))
+                agree.append(np.array_equal(known, found[0][1]))
                 size.append(len(found[0][1]))
                 best.append(found[0][0])
                 scores.append([s for s, _ in found])
                 crcs.append([zlib.crc32(i.astype("<u4").tobytes()) for _, i in found])
-                same.append(all(model.decode(i) == text for _, i in found[:2]))
+                same.append(all(model.decode(i) == text for _, i in found))
             yield pa.record_batch(
                 [
                     b.column("doc_id"), pa.array(size, pa.int64()), pa.array(best, pa.float64()),
                     pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(same, pa.bool_()),
+                    pa.array(own, pa.int64()), pa.array(agree, pa.bool_()),
                 ],
-                ["doc_id", "n_pieces", "best_score", "scores", "ids_crc32", "round_trip"],
+                ["doc_id", "n_pieces", "best_score", "scores", "ids_crc32", "round_trip", "library_pieces", "as_library"],
             )
 
     return run
@@ -349,12 +359,13 @@ def decode_ids(rows: DataFrame, model_path: str, ids_col: str = "ids", into: str
 
 
 def nbest_digests(docs: DataFrame, model_path: str, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces and best_score of the best; scores and ids_crc32 of the n best; whether the two best decode to
-    the text."""
+    """doc_id, n_pieces and best_score of the best; scores and ids_crc32 of the n best; whether all of them decode to
+    the text; how many pieces the library's own encoding has, and whether the best is the same."""
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_pieces long, best_score double, scores array<double>, ids_crc32 array<long>, round_trip boolean"
+    schema += ", library_pieces long, as_library boolean"
     return rows.mapInArrow(_digest(model_path, n), schema)
 
 

@@ -102,7 +102,7 @@ def test_records(spark, tmp_path):
     want = {i: [*x, 2] for (i, _), x in zip(rows, library(BYTE, [t for _, t in rows]), strict=True)}
     folder = f"file://{tmp_path}/records"
     index = token_records.write_records(frame(spark, rows), BYTE, folder)
-    found = token_records.with_starts(token_records.read_records(index, folder, with_ids=True), index).collect()
+    found = token_records.with_starts(token_records.read_records(index, folder, with_ids=True)).collect()
     start = 0
     for r in sorted(found, key=lambda r: r.doc_id):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want[r.doc_id]), crc(want[r.doc_id]))
@@ -159,6 +159,21 @@ def test_nbest():
                 assert model.decode(ids) == (text or "").replace(nbest_segmentation.SPACE, " ")
 
 
+@pytest.mark.parametrize("text", ["-" * 20_000, "a" * 20_000, "\u65e5\u672c\u8a9e" * 7_000, "\u20ac" * 20_000, "ab1" * 7_000])
+def test_nbest_of_long_even_stretches(text):
+    """Ties and long stretches take time in proportion to their length."""
+    import time
+
+    model = nbest_segmentation.lattice(PIECE)
+    began = time.perf_counter()
+    found = model.nbest(text, 4)
+    assert time.perf_counter() - began < 10
+    assert len(found) == len({ids for _, ids in found}) == (4 if text.isascii() else 1)  # one piece a character, no other
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    for _, ids in found:
+        assert b"".join(bytes(model.raw[model.raw_first[i] : model.raw_first[i] + model.raw_length[i]]) for i in ids).decode() == text
+
+
 def test_nbest_tables(spark, tmp_path):
     rows = [r for r in awkward() if len(r[1] or "") < 50_000]
     got = nbest_segmentation.encode_nbest(frame(spark, rows), PIECE)
