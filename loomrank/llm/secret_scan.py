@@ -2,14 +2,17 @@
 
 Candidates are maximal runs of the Base64 and file-name alphabet of CANDIDATE characters or more that hold a digit.
 Each belongs to a character class (hexadecimal or mixed), with its own alphabet and threshold. A window of WINDOW
-characters slides over it; counts by character and the sum of n log2 n are kept up as one character enters and one
-leaves, so a step costs the same at any position, and the largest entropy of a window decides. Candidates that an
+characters slides over it; counts by character, packed into a few numbers, and the sum of n log2 n are kept up as one
+character enters and one leaves, so a step costs the same at any position, and the largest entropy of a window decides. Candidates that an
 allow-list pattern matches (UUIDs, runs of one or consecutive characters, URLs' path words, placeholders) are
 suppressed, as are those that a base span already covers.
 
 Spans are (kind, start, end) in code points, end exclusive. Positions come from searching each match in order from
 the end of the one before: no pattern looks around, so the first place that holds the match's text is the match.
 
+A text's spans are gathered and placed one after another, which takes time in proportion to the text's length times its
+number of matches: nothing for prose, minutes for a text of megabytes that is all keys.
+
 Cases: a null text counts as empty and has no spans; texts of any length are scanned whole; repeated rows and extra
 columns pass through; an empty table gives an empty result.
 """
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, whole_text
+from .common import free_name, let, whole_text
 
 #: The base patterns, in the order that breaks ties of the start.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,7 +41,7 @@ ALLOW = (
     r"^[0-9=/+_-]+$",
     r"(?i)example|placeholder|changeme|your[_-]?(api|key|token|secret)",
     r"(?i)0123456789|abcdefghij",
-    r"^(/?[a-z]+[0-9]*[/_-])*[a-z]+[0-9]{0,2}/?$",
+    r"^/?(([a-z]+[0-9]{0,4}|[0-9]+)[/_-])*([a-z]+[0-9]{0,4}|[0-9]+)/?$",
 )
 #: What every span holds: most texts are ruled out by one pass.
 _TRACE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_=-]{20}"
@@ -80,20 +83,34 @@ def _codes(s: Column) -> Column:
 
 
 def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, of a window of s; counts go up and down by one a step."""
+    """The largest Shannon entropy, in bits a character, of a window of s; counts go up and down by one a step.
+
+    The counts of all characters are packed into a few numbers, so that a step changes two fields.
+    """
     term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
+    width = window.bit_length()
+    each = 63 // width
+    slots = -(-67 // each)
+    slot = lambda c: F.floor(c / each).cast("int")
+    shift = lambda c: ((c % each) * width).cast("int")
+    one_in = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+    none = F.lit(0).cast("long")
 
     def step(codes: Column):
         def one(acc: Column, i: Column) -> Column:
             entering, leaving = F.get(codes, i), F.get(codes, i - window)
 
-            def moved(counts: Column) -> Column:
-                return F.transform(
-                    counts,
-                    lambda n, k: n + F.when(k == entering, 1).otherwise(0) - F.when(k == leaving, 1).otherwise(0),
-                )
+            def count(c: Column) -> Column:
+                field = F.call_function("shiftright", F.get(acc["counts"], slot(c)), shift(c))
+                return field.bitwiseAND((1 << width) - 1)
 
-            n_in, n_out = F.get(acc["counts"], entering), F.get(acc["counts"], leaving)
+            moved = F.transform(
+                acc["counts"],
+                lambda n, k: n
+                + F.when(k == slot(entering), one_in(entering)).otherwise(none)
+                - F.when(k == slot(leaving), one_in(leaving)).otherwise(none),
+            )
+            n_in, n_out = count(entering), count(leaving)
             grown = (
                 F.when(entering.eqNullSafe(leaving), F.lit(0.0))
                 .when(leaving.isNull(), term(n_in + 1) - term(n_in))
@@ -102,7 +119,7 @@ def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
             return let(
                 acc["sum"] + grown,
                 lambda total: F.struct(
-                    moved(acc["counts"]).alias("counts"),
+                    moved.alias("counts"),
                     total.alias("sum"),
                     F.when(i < window - 1, acc["best"])
                     .otherwise(F.greatest(acc["best"], F.log2(F.lit(float(window))) - total / window))
@@ -112,9 +129,7 @@ def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
 
         return F.aggregate(
             F.sequence(F.lit(0), F.size(codes) - 1),
-            F.struct(
-                F.array_repeat(F.lit(0), 67).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")
-            ),
+            F.struct(F.array_repeat(none, slots).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")),
             one,
             lambda a: a["best"],
         )
@@ -165,7 +180,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", into: str = "secret_sp
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by mask; overlapping spans become one. A text without spans stays as it is."""
-    spans = F.col("__spans")
+    name = free_name(docs, "spans")
+    spans = F.col(name)
     text = whole_text(text_col)
 
     def cut(acc: Column, x: Column) -> Column:
@@ -184,9 +200,9 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
         lambda a: F.concat(a["out"], F.substr(text, a["end"] + 1, F.length(text))),
     )
     return (
-        docs.withColumn("__spans", secret_spans(text))
+        docs.withColumn(name, secret_spans(text))
         .withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(F.col(text_col)))
-        .drop("__spans")
+        .drop(name)
     )
 
 
@@ -200,7 +216,8 @@ def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
-        *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)],
+        *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(shown(F.filter("secret_spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
         shown(F.col("secret_spans")).alias("spans"),
+        count(3).alias("n_entropy"),
     )
