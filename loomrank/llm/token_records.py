@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import python_ready, fresh_path, parts, whole_text
+from .common import fresh_path, parts, python_ready, stage, whole_text
 from .tokenizing import encoder, slices
 
 END_ID = 2
@@ -150,6 +150,8 @@ def _read(folder: str, with_ids: bool) -> Callable:
             count, crc, own = [], [], []
             for f, o, n in zip(files, at, size, strict=True):
                 if f != name:
+                    if source is not None:
+                        source.close()
                     name, source = f, store.open_input_file(f"{base}/{f}")
                 source.seek(o)
                 ids = unpack_ids(unframe(source.read(n))[0]).astype("<u4")
@@ -165,6 +167,8 @@ def _read(folder: str, with_ids: bool) -> Callable:
             if with_ids:
                 cols, names = [*cols, pa.array(own, pa.binary())], [*names, "ids"]
             yield pa.record_batch(cols, names)
+        if source is not None:
+            source.close()
 
     return run
 
@@ -180,12 +184,14 @@ def read_records(index: DataFrame, folder: str, with_ids: bool = False) -> DataF
     return index.mapInArrow(_read(folder, with_ids), schema)
 
 
-def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
-    """records with start: the ids of all documents before, over all files."""
-    files = index.groupBy("file_no").agg(F.sum("n_tokens").alias("__n"))  # one row a file
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file_no", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return records.join(files, "file_no").withColumn("start", F.col("__before") + F.col("tokens_before")).drop("__before")
+def with_starts(records: DataFrame) -> DataFrame:
+    """records (all of a folder's, as read) with start: the ids of all documents before, from the counts in the records."""
+    files = records.groupBy("file_no").agg(F.sum("n_tokens").alias("own"))  # one row a file
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file_no", F.coalesce(F.sum("own").over(ahead(Window.orderBy("file_no"))), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n_tokens").over(ahead(Window.partitionBy("file_no").orderBy("offset"))), F.lit(0))
+    rows = records.withColumn("inside", inside)  # a file is what one task wrote
+    return rows.join(files, "file_no").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
 def op5_token_records(spark, sf_dir: str) -> DataFrame:
@@ -194,5 +200,5 @@ def op5_token_records(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = fresh_path(spark, "records")
     index = write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
-    found = read_records(index, folder)
-    return with_starts(found, index).select("doc_id", "start", "n_tokens", "ids_crc32")
+    found = stage(read_records(index, folder).select("doc_id", "file_no", "offset", "n_tokens", "ids_crc32"), "records-read")
+    return with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
