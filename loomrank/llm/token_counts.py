@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .common import python_ready, fresh_path, whole_text
 from .tokenizing import encoder, file_digest, slices
@@ -40,11 +39,10 @@ def _encode(path: str, version: bytes) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def read_cache(spark, path: str) -> DataFrame:
     """The stored counts, one row a pair of digests; none yet: empty."""
-    try:
-        found = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
-        found = spark.createDataFrame([], CACHE_SCHEMA)
-    return found
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], CACHE_SCHEMA)
+    return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
 def token_counts(
@@ -76,7 +74,8 @@ def token_counts(
     rows = docs.select(
         F.col(id_col), F.octet_length(whole_text(text_col)).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest")
     )
-    return rows.join(now, "digest").select(id_col, "n_bytes", "n_tokens")
+    counted = F.coalesce("n_tokens", F.raise_error(F.lit("a text has no count in the cache")).cast("long"))
+    return rows.join(now, "digest", "left").select(id_col, "n_bytes", counted.alias("n_tokens"))
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
