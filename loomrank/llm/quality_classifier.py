@@ -4,9 +4,9 @@ A document is a bag of passages of PASSAGE words. Each passage is encoded (stati
 a learned layer), a gated attention learns from document labels how much each passage weighs, and the weighted sum is
 scored. Training is by Adam on the driver over a bounded sample; scoring is a map over all texts, whole.
 
-Bounds of the fit, all parameters: `per_class` labelled documents of each label (those whose ids hash smallest), and of
-a training document `train_passages` evenly spaced passages. The sample is small by construction, so it is broadcast
-to pick the training texts. Nothing of scoring is bounded.
+The bound of the fit is a parameter: `per_class` labelled documents of each label (those whose ids hash smallest), each
+with all its passages. The sample is small by construction, so it is broadcast to pick the training texts. Nothing of
+scoring is bounded.
 
 Cases: a null, empty or blank text is one passage of zeros; texts of any length are scored whole; labels that are null
 or contradict each other for a document are left out, repeated ones count once; without labelled rows of both kinds
@@ -28,7 +28,7 @@ from .common import python_ready, whole_text
 from .shingles import lowered, raw_bytes, word_hashes
 from .tokenizing import slices
 
-PASSAGE, PER_CLASS, TRAIN_PASSAGES = 128, 1500, 64
+PASSAGE, PER_CLASS = 128, 1500
 #: Classes of bytes: a-z, A-Z, 0-9, white space, symbols, sentence marks, other ASCII, beyond ASCII.
 _CLASS = np.full(256, 6, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 7
@@ -163,15 +163,12 @@ def train(
     return model
 
 
-def _encode(most: int) -> Callable:
+def _encode() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             x, per = passage_features(b.column("text"))
             at = np.concatenate([[0], np.cumsum(per)])
-            own = []
-            for i, n in enumerate(per.tolist()):
-                rows = x[at[i] : at[i + 1]]
-                own.append((rows if n <= most else rows[np.linspace(0, n - 1, most).astype(int)]).tobytes())
+            own = [x[at[i] : at[i + 1]].tobytes() for i in range(len(per))]
             yield pa.record_batch([b.column("id"), b.column("label"), pa.array(own, pa.binary())], ["id", "label", "bag"])
 
     return run
@@ -193,9 +190,11 @@ def fit(
     text_col: str = "text",
     label_col: str = "quality",
     per_class: int = PER_CLASS,
-    train_passages: int = TRAIN_PASSAGES,
 ) -> Model:
-    """A model of the labels of at most 2 * per_class documents."""
+    """A model of the labels of at most 2 * per_class documents, with all their passages.
+
+    Rows that repeat an id count once, by the first text in their order.
+    """
     python_ready(docs.sparkSession)
     known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -211,8 +210,9 @@ def fit(
     sample = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(
         F.broadcast(picked[0].unionByName(picked[1])), "id"  # at most 2 * per_class rows
     )
+    sample = sample.groupBy("id", "label").agg(F.min("text").alias("text"))
     kind = dict(sample.dtypes)["id"]
-    rows = sample.select("id", "label", "text").mapInArrow(_encode(train_passages), f"id {kind}, label int, bag binary").collect()
+    rows = sample.select("id", "label", "text").mapInArrow(_encode(), f"id {kind}, label int, bag binary").collect()
     rows.sort(key=lambda r: (r.id, r.bag))
     bags = [np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in rows]
     if not bags:

@@ -196,6 +196,62 @@ def test_passages_do_not_depend_on_neighbours():
         assert n[0] == per[i] and np.allclose(alone, x[at[i] : at[i + 1]])
 
 
+def features_brute(text, size=128):
+    """The features of a text's passages, byte by byte."""
+    raw = (text or "").encode()
+    words = [(m.start(), m.group().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+
+    def kind(c):
+        for k, some in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\x0c\r", "#*$%&|<>", ".,;:?'\"-()")):
+            if chr(c) in some:
+                return k
+        return 7 if c >= 128 else 6
+
+    out = []
+    for start in range(0, max(1, len(words)), size):
+        own = words[start : start + size]
+        row = [0.0] * quality_classifier.FEATURES
+        if own:
+            end = words[start + size][0] if start + size < len(words) else len(raw)
+            pairs = [(kind(raw[i]), kind(raw[i + 1]) if i + 1 < len(raw) else 3) for i in range(own[0][0], end)]
+            for a, b in pairs:
+                row[a * 8 + b] += 1 / len(pairs)
+            names = [w for _, w in own]
+            row[64] = len(set(names)) / len(names)
+            row[65] = sum(a == b for a, b in zip(names, names[1:], strict=False)) / len(names)
+            row[66] = math.log1p(len(names)) / 5
+            row[67] = len(pairs) / len(names) / 10
+            row[68] = max(Counter(names).values()) / len(names)
+        out.append(row)
+    return out
+
+
+def test_scores_against_loops():
+    """Features, attention and score of whole texts, a passage and a number at a time."""
+    rng = np.random.default_rng(1)
+    texts = [t for _, t in awkward()] + ["The the THE cat. Sat! 42 $%", " x " * 300]
+    x, per = quality_classifier.passage_features(pa.array(texts, pa.string()))
+    want = [features_brute(t) for t in texts]
+    assert per.tolist() == [len(w) for w in want]
+    assert np.allclose(x, np.array([row for w in want for row in w]), atol=1e-6)
+    d = quality_classifier.FEATURES
+    p = {"W": rng.normal(size=(d, 5)), "b": rng.normal(size=5), "V": rng.normal(size=(5, 3)), "v": rng.normal(size=3), "U": rng.normal(size=(5, 3)),
+         "u": rng.normal(size=3), "w": rng.normal(size=3), "c": rng.normal(size=5), "d": np.array(0.2)}
+    mean, scale = rng.normal(size=d) * 0.1, 1 + rng.random(d)
+    got = quality_classifier.Model(p, mean, scale, 0.5).scores(x, per)
+    for text, score in zip(want, got, strict=True):
+        hidden, gates = [], []
+        for row in text:
+            z = [(v - m) / s for v, m, s in zip(row, mean, scale, strict=True)]
+            h = [max(0.0, sum(z[i] * p["W"][i][k] for i in range(d)) + p["b"][k]) for k in range(5)]
+            t = [math.tanh(sum(h[k] * p["V"][k][j] for k in range(5)) + p["v"][j]) for j in range(3)]
+            s = [1 / (1 + math.exp(-(sum(h[k] * p["U"][k][j] for k in range(5)) + p["u"][j]))) for j in range(3)]
+            hidden.append(h)
+            gates.append(math.exp(sum(t[j] * s[j] * p["w"][j] for j in range(3))))
+        z = [sum(g * h[k] for g, h in zip(gates, hidden, strict=True)) / sum(gates) for k in range(5)]
+        assert score == pytest.approx(1 / (1 + math.exp(-(sum(z[k] * p["c"][k] for k in range(5)) + 0.2))), abs=1e-5)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     d = quality_classifier.FEATURES
@@ -278,6 +334,47 @@ def test_window_entropy(spark):
         assert r.h == pytest.approx(entropy(r.t), abs=1e-9)
 
 
+def test_entropy_scan_of_labelled_strings(spark):
+    """Random keys without a keyword near them against long strings of other kinds: precision and recall."""
+    rng = random.Random(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(chars) for _ in range(rng.randint(24, 64))) for _ in range(200)]
+    keys = [k for k in keys if any(c.isdigit() for c in k)]
+    words = ["alpha", "report", "config", "module", "images", "static", "version", "service", "handler", "2024", "index2"]
+    other = ["-".join(rng.choice(words) for _ in range(5)) for _ in range(60)]
+    other += ["/" + "/".join(rng.choice(words) for _ in range(6)) for _ in range(60)]
+    other += [f"{rng.getrandbits(32):08x}-{rng.getrandbits(16):04x}-4{rng.getrandbits(12):03x}-a{rng.getrandbits(12):03x}-{rng.getrandbits(48):012x}" for _ in range(40)]
+    other += [str(rng.getrandbits(90)) for _ in range(40)] + ["=" * 40, "0123456789" * 4, "x1" * 20, "your-api-key-placeholder-1234"]
+    rows = [(i, f"see {t} there") for i, t in enumerate(keys + other)]
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {r.doc_id for r in found if any(x.kind == 3 for x in r.secret_spans)}
+    right = len([i for i in hit if i < len(keys)])
+    assert right / len(keys) >= 0.95 and right / len(hit) >= 0.95, (right / len(keys), right / len(hit))
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Empty table, no labels, repeated rows and ids, nulls, names that clash."""
+    import corpus_pipeline
+
+    good = prose(random.Random(2), 60)
+    rows = [(1, good), (1, good), (2, good), (3, None), (4, ""), (5, " \n"), (6, good + " token=b7db7aa4a5fcc78305"), (None, good + " one more")]
+    for name, some, labels in (("none", [], []), ("plain", rows, []), ("onekind", rows, [(1, 1, 0)])):
+        path = write_tables(spark, tmp_path / name, some, labels)
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for extra in ("old", "stats", "spans", "gone", "i"):
+            docs = docs.selectExpr("*", f"'kept' AS {extra}")
+        for stage_name, step in corpus_pipeline.STAGES[:-1]:
+            out = step(spark, docs, path)
+            assert out.columns == docs.columns, stage_name
+            out.write.mode("overwrite").parquet(f"{path}/{stage_name}")
+            docs = spark.read.parquet(f"{path}/{stage_name}")
+        left = docs.collect()
+        assert all(r.old == r.stats == r.spans == r.gone == r.i == "kept" for r in left)
+        assert sorted({r.doc_id for r in left}, key=str) == ([1] if some else []) or not some or {r.doc_id for r in left} <= {1, None}
+        assert all("[SECRET]" in r.text or r.text == good or r.doc_id is None for r in left)
+        assert corpus_pipeline.run(spark, path).count() == len(left)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
