@@ -4,25 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrank.session import send_package
+
 #: ASCII white space, as a Java and Python character class body (fixed value).
 WS = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a local one, in local mode only (tests)."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        path = known or "file://" + tempfile.mkdtemp(prefix="loomrank-shared-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(path)
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="loomrank-shared-")
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -88,13 +89,4 @@ def parts(spark: SparkSession) -> int:
 def python_ready(spark: SparkSession, most: int = 8 << 20) -> None:
     """Before Python runs on executors: send them this package, and bound Arrow batches in bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
-    context = spark.sparkContext
-    if getattr(context, "_loomrank_sent", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="loomrank-")) / "loomrank_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    context.addPyFile(str(target))
-    context._loomrank_sent = True
+    send_package(spark)

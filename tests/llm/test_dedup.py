@@ -116,6 +116,20 @@ def test_near_empty_null_and_keep(spark):
     assert got == {(None, None, True), (2, 2, True)}
 
 
+def test_near_rows_of_one_id(spark):
+    """Rows that share an id are one document, which links by any of its texts; copies of a row change nothing."""
+    import random
+
+    rng = random.Random(9)
+    one, two = prose(rng, 80), prose(rng, 90)
+    rows = [(7, one), (7, two), (7, two), (3, one + " more"), (9, two + " more"), (11, prose(rng, 70))]
+    docs = frame(spark, rows).selectExpr("*", "'x' AS gone", "'y' AS comp")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (9, 3, False), (11, 11, True)}
+    kept = minhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 11}
+
+
 def test_min_max_estimates():
     rng = np.random.default_rng(3)
     hasher, errors = minhash_dedup.MinMax(256), []
@@ -190,6 +204,18 @@ def test_line_family(spark):
             assert [x >> 32 for x in r.gone] == ([] if r.doc_id == 0 else [0, 2]), r
 
 
+def test_near_against_sql(spark, tmp_path, family):
+    import duckdb
+    from helpers import write_tables
+
+    rows = [r for r in family if len(r[1] or "") < 50_000 and "\x00" not in (r[1] or "")]
+    path = write_tables(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({minhash_dedup.OP1_SQL})").fetchall()
+    assert {tuple(r) for r in minhash_dedup.op1_minhash_dedup(spark, path).collect()} == set(want)
+
+
 def test_exact_against_sql(spark, tmp_path):
     import duckdb
     from helpers import write_tables
