@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, parts, stage, whole_text
+from .common import drop, parts, stage
 
 HEAD = 32
 
@@ -38,8 +38,8 @@ def exact_dedup(
     keep: which id of a group stays, "smallest" or "largest". normalise: applied to the text first (none: as it is).
     rows_per_task: groups above it are salted; by default a quarter of a shuffle partition's mean share.
     """
-    base = docs.select(F.col(id_col).alias("__id"), _normal(text_col, normalise).alias("__t"))
-    rows = _sorted(base, keep, rows_per_task).select(
+    base = docs.select(F.col(id_col).alias("__id"), _normal(F.col(text_col), normalise).alias("__t"))
+    rows = _sorted(base, F.col("__t"), keep, rows_per_task).select(
         "__id", "__salt", "__lead", "__size", "__first", F.sha2("__t", 256).alias("text_sha256")
     )
     rows = stage(rows, "dedup-rows")
@@ -64,12 +64,11 @@ def keep_one(
 ) -> DataFrame:
     """One whole row of docs, all its columns with it, for each group of equal texts.
 
-    The columns travel with the sorted texts, so nothing is joined back; of rows that repeat the kept id one stays.
+    The columns travel with the texts, once, so nothing is joined back; of rows that repeat the kept id one stays.
     """
-    base = docs.select(
-        F.col(id_col).alias("__id"), _normal(text_col, normalise).alias("__t"), F.struct("*").alias("__row")
-    )
-    leads = _sorted(base, keep, rows_per_task).filter("__first")
+    base = docs.select(F.col(id_col).alias("__id"), F.struct("*").alias("__row"))
+    text = _normal(F.col("__row").getField(text_col), normalise)
+    leads = _sorted(base, text, keep, rows_per_task).filter("__first")
     leads = stage(leads.select("__id", "__salt", "__lead", "__size", "__row", F.sha2("__t", 256).alias("text_sha256")), "dedup-leads")
     out = leads.join(F.broadcast(_salted_groups(leads.withColumn("__first", F.lit(True)), keep)), _same_salted(leads), "left")
     best = Window.partitionBy("text_sha256", "__salted").orderBy(F.col("__id").desc_nulls_last() if keep == "largest" else F.col("__id").asc_nulls_last(), "__salt")
@@ -79,15 +78,18 @@ def keep_one(
     return alone.unionByName(pieces.filter("__nth = 1").select("__row.*"))
 
 
-def _normal(text_col: str, normalise: Callable[[Column], Column] | None) -> Column:
-    text = whole_text(text_col)
+def _normal(text: Column, normalise: Callable[[Column], Column] | None) -> Column:
+    text = F.coalesce(text.cast("string"), F.lit(""))
     return normalise(text) if normalise else text
 
 
-def _sorted(base: DataFrame, keep: str, rows_per_task: int | None) -> DataFrame:
-    """base (__id, __t, ...) in content order, with the group of each row within its salted piece."""
+def _sorted(base: DataFrame, text: Column, keep: str, rows_per_task: int | None) -> DataFrame:
+    """base (__id, ...) in the order of text, with it as __t and the group of each row within its salted piece.
+
+    The text is taken from base's columns again after the shuffle, not sent beside them.
+    """
     n = parts(base.sparkSession)
-    base = base.withColumn("__h", F.xxhash64("__t"))
+    base = base.withColumn("__h", F.xxhash64(text))
     counts = stage(base.groupBy("__h").agg(F.count("*").alias("__n")).filter("__n > 1"), "dedup-counts")
     total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     limit = rows_per_task or max(64, total // (4 * n))
@@ -97,11 +99,12 @@ def _sorted(base: DataFrame, keep: str, rows_per_task: int | None) -> DataFrame:
     drop(counts)
     salt = F.when(F.col("__k").isNotNull(), 1 + F.pmod(F.xxhash64("__id"), F.col("__k"))).otherwise(F.lit(0))
     salted = base.join(F.broadcast(hot), "__h", "left").withColumn("__salt", salt).drop("__k")
-    salted = salted.withColumn("__head", F.substring("__t", 1, HEAD))
+    salted = salted.withColumn("__head", F.substring(text, 1, HEAD))
     pieces = Window.partitionBy("__head", "__h", "__salt", "__t")
     order = F.col("__id").desc_nulls_last() if keep == "largest" else F.col("__id").asc_nulls_last()
     return (
         salted.repartitionByRange(n, "__head", "__h", "__salt")
+        .withColumn("__t", text)
         .withColumn("__lead", _best("__id", keep).over(pieces))
         .withColumn("__size", F.count("*").over(pieces))
         .withColumn("__first", F.row_number().over(pieces.orderBy(order)) == 1)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, free_name, least_overlap, parts, python_ready, stage, whole_text
+from .common import drop, free_name, least_overlap, parts, possible, python_ready, stage, whole_text
 from .components import connected_components
 from .shingles import mix, shingle_sets
 from .tokenizing import slices
@@ -344,14 +344,16 @@ def near_duplicates(
     shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("c"))
     shared = shared.filter("c > 1").select("bucket", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
     members = stage(buckets.join(shared, "bucket"), "minhash-members")
-    involved = members.select(F.col("id").alias("doc_id")).distinct()
-    found = stage(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "minhash-texts")
+    involved = stage(members.select(F.col("id").alias("doc_id")).distinct(), "minhash-involved")
+    # of the texts only those that may be involved are shuffled
+    near = possible(texts, F.col("doc_id"), involved, "near").filter("near").drop("near")
+    found = stage(near.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "minhash-texts")
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     pairs = members.filter((F.col("id") != F.col("lead")) & fits(F.col("n"), F.col("lead_n")))
     pairs = pairs.select(F.col("lead").alias("a"), F.col("id").alias("b"))
     links = None
-    spent = [signed, node, members, found]
+    spent = [signed, node, members, involved, found]
     for turn in range(1, LEADER_ROUNDS + 1):
         pairs = stage(pairs.distinct(), "minhash-pairs")
         new = confirm_links(pairs, found, words, percent)
@@ -400,10 +402,15 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each component."""
-    name = free_name(docs, "gone")
+    """The rows of docs that stay, with all their columns: one document of each component.
+
+    Only rows that may be gone are shuffled, those that a bitmap of the gone ids doesn't rule out.
+    """
+    name, flag = free_name(docs, "gone"), free_name(docs, "maybe")
     gone = near_duplicates(docs, id_col, text_col, **kw).filter("not kept").select(F.col(id_col).alias(name)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    marked = possible(docs, F.col(id_col).cast("long"), gone, flag)
+    rest = marked.filter(F.col(flag)).join(gone, F.col(id_col) == F.col(name), "left_anti")
+    return marked.filter(~F.col(flag)).union(rest).drop(flag)
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import awkward, frame, prose, words_of
+from pyspark.sql import functions as F
 
 from loomrank.llm import exact_dedup, line_dedup, minhash_dedup
+from loomrank.llm.common import possible
 from loomrank.llm.components import connected_components
 from loomrank.llm.shingles import shingle_sets
 
@@ -148,6 +150,53 @@ def test_components(spark):
     assert connected_components(df.limit(0)).isEmpty()
 
 
+def shuffled(spark, job):
+    """Bytes that job writes to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    job()
+    return total() - before
+
+
+def test_texts_shuffled(spark):
+    # tables beyond the broadcast threshold: whole texts go through one shuffle in exact deduplication, and only those
+    # of documents in a shared bucket in near deduplication
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.bytes(6).hex() for _ in range(6_000)) for _ in range(60)]
+    texts += [texts[3], texts[7].replace(" ", " changed ", 1)]
+    docs = frame(spark, list(enumerate(texts))).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = shuffled(spark, lambda: docs.repartition(4, "text").foreach(lambda r: None))
+        kept = []
+        exact = shuffled(spark, lambda: kept.extend(r.doc_id for r in exact_dedup.keep_one(docs).collect()))
+        assert sorted(kept) == [*range(60), 61]
+        kept.clear()
+        near = shuffled(spark, lambda: kept.extend(r.doc_id for r in minhash_dedup.keep_one(docs).collect()))
+        assert sorted(kept) == list(range(60))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert exact < 1.5 * once
+    assert near < 0.6 * once
+
+
+def test_possible(spark):
+    rows = spark.createDataFrame([(i, "x") for i in [*range(-500, 2_000), None, 1 << 62, -(1 << 62)]], "id long, part string")
+    keys = spark.createDataFrame([(i * 10,) for i in range(-20, 150)] + [(1 << 62,)], "part long")
+    got = possible(rows, F.col("id"), keys, "maybe").collect()
+    assert len(got) == 2_503 and got[0].part == "x"
+    held = {r.part for r in keys.collect()}
+    assert all(r.maybe for r in got if r.id in held) and sum(r.maybe for r in got) < len(held) + 60
+    assert not any(r.maybe for r in possible(rows, F.col("id"), keys.limit(0), "maybe").collect())
+
+
 def line_brute(rows, percent=80):
     seen, out = [], {}
     for i, t in sorted(rows):
