@@ -187,6 +187,31 @@ def test_texts_shuffled(spark):
     assert near < 0.6 * once
 
 
+def test_lines_shuffled(spark):
+    # tables beyond the broadcast threshold: of the lines' texts only those of lines with a possible partner are shuffled
+    rng = np.random.default_rng(12)
+    line = lambda: " ".join(rng.bytes(200).hex() for _ in range(20))
+    texts = ["\n".join(line() for _ in range(10)) for _ in range(40)]
+    texts.append(texts[5].split("\n")[3] + " more\n" + line())
+    docs = frame(spark, list(enumerate(texts))).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = shuffled(spark, lambda: docs.repartition(4, "text").foreach(lambda r: None))
+        rows = []
+        moved = shuffled(spark, lambda: rows.extend(line_dedup.find_lines(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 402 and [(r.doc_id, r.line_no) for r in rows if not r.kept] == [(40, 0)]
+    assert moved < 0.4 * once
+
+
+def test_words_of_lines(spark):
+    lines = ["", " ", "a b", " a  B\tc ", "\x0b\x0c\r", "d\re f", "g\xa0h\u2028i \x00 j\x1ck\x85", "ÉÀ Σας  ΣΑΣ"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup._words(F.col("line")).alias("w"))
+    assert {r.line: [w for w in r.w if w] for r in got.collect()} == {x: [w.lower() for w in words_of(x)] for x in lines}
+
+
 def test_possible(spark):
     rows = spark.createDataFrame([(i, "x") for i in [*range(-500, 2_000), None, 1 << 62, -(1 << 62)]], "id long, part string")
     keys = spark.createDataFrame([(i * 10,) for i in range(-20, 150)] + [(1 << 62,)], "part long")
