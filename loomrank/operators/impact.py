@@ -113,15 +113,16 @@ def block_seek(blocks: DataFrame, targets: DataFrame, size: int = PIECE) -> Data
     """For each target (term, doc_id): the first block whose last document isn't before it, none beyond the list.
 
     Targets and blocks are sorted together by document, in pieces of a list, and each target takes the block that comes
-    next, or the first of a later piece.
+    next, or the first of a later piece. The order is from the last document to the first: Spark keeps a frame that
+    starts at the first row as it goes, but computes one that ends at the last row anew for every row.
     """
     marks = blocks.select("term", F.col("last_doc_id").alias("at"), F.lit(1).alias("kind"), "block_no")
     asks = targets.select("term", F.col("doc_id").alias("at"), F.lit(0).alias("kind"), F.struct(*targets.columns).alias("target"))
     rows = asks.unionByName(marks, allowMissingColumns=True).withColumn("piece", F.floor(F.col("at") / size).cast("long"))
-    inside = Window.partitionBy("term", "piece").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    later = Window.partitionBy("term").orderBy("piece").rowsBetween(1, Window.unboundedFollowing)
+    inside = Window.partitionBy("term", "piece").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("term").orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
     pieces = rows.groupBy("term", "piece").agg(F.min("block_no").alias("first"))
-    pieces = pieces.select("term", "piece", F.first("first", ignorenulls=True).over(later).alias("later"))
-    found = rows.withColumn("next", F.first("block_no", ignorenulls=True).over(inside)).filter("kind = 0")
+    pieces = pieces.select("term", "piece", F.last("first", ignorenulls=True).over(later).alias("later"))
+    found = rows.withColumn("next", F.last("block_no", ignorenulls=True).over(inside)).filter("kind = 0")
     found = found.join(pieces.filter("later is not null"), ["term", "piece"], "left")
     return found.select("target.*", F.coalesce("next", "later").alias("block_no"))

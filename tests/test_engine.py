@@ -339,3 +339,12 @@ def test_lookups_by_number_and_ranges(spark, tmp_path):
     bounds, size, n = index_store.load_ranges(spark, str(tmp_path), "small")
     assert (size, n) == (4, 4)
     assert sorted(map(tuple, bounds.collect())) == sorted(map(tuple, impact.doc_block_info(index, 4, 2).collect()))
+
+
+def test_block_seek_keeps_its_frames(spark):
+    blocks = spark.createDataFrame([("a", 0, 10), ("a", 1, 20)], "term string, block_no long, last_doc_id long")
+    targets = spark.createDataFrame([("a", 10), ("a", 11), ("a", 21)], "term string, doc_id long")
+    got = impact.block_seek(blocks, targets, 8)
+    assert {r.doc_id: r.block_no for r in got.collect()} == {10: 0, 11: 1, 21: None}
+    # a frame up to the last row is computed anew for every row: quadratic in the length of a list
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
