@@ -21,15 +21,37 @@ def doc_ord(doc_id: Column | str = "doc_id") -> Column:
     return (F.col(doc_id) if isinstance(doc_id, str) else doc_id) + 1
 
 
+def weights(index: Index) -> DataFrame:
+    """postings with w, the weight of the frequency."""
+    s = F.broadcast(index.lengths.select("avg_doc_len"))  # one row
+    w = tf_weight(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
+    return index.with_lengths().crossJoin(s).withColumn("w", w).drop("avg_doc_len")
+
+
+def with_idf(rows: DataFrame, index: Index) -> DataFrame:
+    """rows (term, df, ...), as few as terms, blocks or ranges, with g (idf of the term). df is right where postings were
+    counted once each, else the dictionary's takes its place."""
+    if index.measured is None:
+        rows = rows.drop("df").join(index.dictionary.select("term", "df"), "term")
+    rows = rows.crossJoin(F.broadcast(index.lengths.select("n_docs")))
+    return rows.withColumn("g", idf(F.col("n_docs"), F.col("df"))).drop("n_docs", "df")
+
+
+def scores(rows: DataFrame) -> DataFrame:
+    """rows (max_w, min_w, g, ...) with max_score and min_score. w times g rises with w, or falls if g is negative, in
+    doubles too, so these are the bounds of the postings' scores to the last bit."""
+    up = F.col("g") >= 0
+    high, low = F.col("max_w") * F.col("g"), F.col("min_w") * F.col("g")
+    both = {"max_score": F.when(up, high).otherwise(low), "min_score": F.when(up, low).otherwise(high)}
+    return rows.withColumns(both).drop("max_w", "min_w", "g")
+
+
 def weighted(index: Index) -> DataFrame:
     """postings with g (idf of the term), w (weight of the frequency) and score (w times g)."""
-    s = F.broadcast(index.stats.select("n_docs", "avg_doc_len"))  # one row
-    terms = index.dictionary.select("term", "df")
-    out = index.postings.join(terms, "term").join(index.doc_stats, "doc_id").crossJoin(s)
-    out = out.withColumn("g", idf(F.col("n_docs"), F.col("df"))).withColumn(
-        "w", tf_weight(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
-    )
-    return out.withColumn("score", F.col("w") * F.col("g")).drop("n_docs", "avg_doc_len")
+    s = F.broadcast(index.lengths.select("n_docs"))
+    out = weights(index).join(index.dictionary.select("term", "df"), "term").crossJoin(s)
+    out = out.withColumn("g", idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
+    return out.withColumn("score", F.col("w") * F.col("g"))
 
 
 def numbered(postings: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -53,8 +75,9 @@ def block_info(index: Index, block: int = BLOCK) -> DataFrame:
 
 
 def term_max_score(index: Index) -> DataFrame:
-    """By term: largest and smallest score of its postings."""
-    return weighted(index).groupBy("term").agg(F.max("score").alias("max_score"), F.min("score").alias("min_score"))
+    """By term: largest and smallest score of its postings. Tasks send one row a term."""
+    by = weights(index).groupBy("term")
+    return scores(with_idf(by.agg(F.count("*").alias("df"), F.max("w").alias("max_w"), F.min("w").alias("min_w")), index))
 
 
 def doc_block_info(index: Index, size: int = RANGE, least_df: int = LONG_LIST) -> DataFrame:
