@@ -81,11 +81,17 @@ def term_max_score(index: Index) -> DataFrame:
 
 
 def doc_block_info(index: Index, size: int = RANGE, least_df: int = LONG_LIST) -> DataFrame:
-    """By term of least_df documents or more and range of `size` documents: the largest weight, the last range too."""
-    long_terms = index.dictionary.filter(F.col("df") >= least_df).select("term")
-    rows = weighted(index).join(long_terms, "term", "left_semi")
-    rows = rows.withColumn("range_no", F.floor((doc_ord() - 1) / size).cast("long"))
-    return rows.groupBy("term", "range_no").agg(F.max("w").alias("max_w"), F.first("g").alias("g"))
+    """By term of least_df documents or more and range of `size` documents: the largest weight, the last range too.
+
+    Tasks send one row a term and range; a term's documents are counted from those rows.
+    """
+    rows = weights(index).withColumn("range_no", F.floor((doc_ord() - 1) / size).cast("long"))
+    ranges = rows.groupBy("term", "range_no").agg(F.max("w").alias("max_w"), F.count("*").alias("n"))
+    if index.measured is None:
+        ranges = ranges.join(index.dictionary.select("term", "df"), "term")
+    else:
+        ranges = ranges.withColumn("df", F.sum("n").over(Window.partitionBy("term")))
+    return with_idf(ranges.filter(F.col("df") >= least_df).drop("n"), index)
 
 
 def score_quantize(ranges: DataFrame) -> DataFrame:

@@ -67,3 +67,9 @@ def test_lengths_come_with_postings(plain):
 def test_term_max_score_sends_a_row_a_term(plain):
     plan = impact.term_max_score(plain)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(term") == 1
+
+
+def test_ranges_are_summed_before_the_shuffle(plain):
+    plan = impact.score_quantize(impact.doc_block_info(plain, 8, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "partial_max" in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(term", plan)) == 2
