@@ -62,16 +62,11 @@ def numbered(postings: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def block_info(index: Index, block: int = BLOCK) -> DataFrame:
     """By term and block: last document, postings, largest and smallest score. No entry is left uninitialised."""
-    return (
-        numbered(weighted(index), block)
-        .groupBy("term", "block_no")
-        .agg(
-            F.max("doc_id").alias("last_doc_id"),
-            F.count("*").alias("n"),
-            F.max("score").alias("max_score"),
-            F.min("score").alias("min_score"),
-        )
+    rows = numbered(weights(index).select("term", "doc_id", "w"), block)
+    blocks = rows.groupBy("term", "block_no").agg(
+        F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n"), F.max("w").alias("max_w"), F.min("w").alias("min_w")
     )
+    return scores(with_idf(blocks.withColumn("df", F.sum("n").over(Window.partitionBy("term"))), index))
 
 
 def term_max_score(index: Index) -> DataFrame:
