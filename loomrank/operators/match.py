@@ -47,7 +47,7 @@ def query_plan(topics: DataFrame, index: Index, scorer: Scorer = BM25) -> DataFr
     topics = stem_topics(topics) if index.stemmed else topics
     few = topics.limit(SMALL + 1).count() <= SMALL
     terms = index.dictionary.join(F.broadcast(topics) if few else topics, "term")
-    terms = terms.crossJoin(F.broadcast(index.stats.select("n_docs")))
+    terms = terms.crossJoin(F.broadcast(index.lengths.select("n_docs")))
     terms = terms.withColumn("g", scorer.term(F.col("n_docs"), F.col("df"), F.col("qtf")))
     order = Window.partitionBy("topic").orderBy(F.desc("g"), "term", "pos")
     rest = order.rowsBetween(0, Window.unboundedFollowing)
@@ -65,14 +65,21 @@ def term_postings(plan: DataFrame, index: Index) -> DataFrame:
     return index.postings.join(if_small(plan), "term")
 
 
+def measured_postings(plan: DataFrame, index: Index) -> DataFrame:
+    """term_postings with doc_len. If lengths don't come with the postings, they are joined to the filtered ones."""
+    if index.measured is None:
+        return term_postings(plan, index).join(index.doc_stats, "doc_id")
+    return index.measured.join(if_small(plan), "term")
+
+
 def matches(plan: DataFrame, index: Index, scorer: Scorer = BM25) -> DataFrame:
     """(topic, doc_id, tier, mask, n_matched, score) of every document that has a term of the topic.
 
     One aggregate of partial sums over (topic, doc_id): the union of the lists, the matched subset as bits, its tier
     score, and the sum of the scorer's weights (BM25 unless another is given, to the plan as well).
     """
-    s = F.broadcast(index.stats.select("avg_doc_len"))
-    rows = term_postings(plan, index).join(index.doc_stats, "doc_id").crossJoin(s)
+    s = F.broadcast(index.lengths.select("avg_doc_len"))
+    rows = measured_postings(plan, index).crossJoin(s)
     w = scorer.posting(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
     return rows.groupBy("topic", "doc_id").agg(
         F.round(F.sum("g"), DIGITS).alias("tier"),

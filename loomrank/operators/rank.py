@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomrank.functions.scoring import dirichlet, tf_weight
 
 from .index import Index
-from .match import DIGITS, if_small, term_postings, tier_counts, tier_prune
+from .match import DIGITS, if_small, measured_postings, tier_counts, tier_prune
 
 
 def _top(found: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -61,7 +61,7 @@ def run_output(ranked: DataFrame, doc_names: DataFrame) -> DataFrame:
 
 def language_model(plan: DataFrame, index: Index, k: int, mu: float = 2500.0) -> DataFrame:
     """Opt-in: query likelihood with Dirichlet smoothing over documents that have a term of the topic."""
-    total = F.broadcast(index.stats.select("total_tokens"))
+    total = F.broadcast(index.lengths.select("total_tokens"))
     terms = plan.join(index.dictionary.select("term", "cf"), "term").select("topic", "term", "cf")
     rows = index.postings.join(if_small(terms), "term")
     found = rows.select("topic", "doc_id").distinct().join(if_small(terms), "topic")
@@ -74,7 +74,7 @@ def language_model(plan: DataFrame, index: Index, k: int, mu: float = 2500.0) ->
 
 def bm25_weights(plan: DataFrame, index: Index) -> DataFrame:
     """The weight of each posting of the topics' terms."""
-    s = F.broadcast(index.stats.select("avg_doc_len"))
-    rows = term_postings(plan, index).join(index.doc_stats, "doc_id").crossJoin(s)
+    s = F.broadcast(index.lengths.select("avg_doc_len"))
+    rows = measured_postings(plan, index).crossJoin(s)
     w = tf_weight(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
     return rows.select("topic", "term", "doc_id", "tf", w.alias("w"), (w * F.col("g")).alias("score"))

@@ -73,3 +73,18 @@ def test_ranges_are_summed_before_the_shuffle(plain):
     plan = impact.score_quantize(impact.doc_block_info(plain, 8, 2))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "partial_max" in plan
     assert len(re.findall(r"Exchange hashpartitioning\(term", plan)) == 2
+
+
+def test_topics_need_no_other_lists(spark, tmp_path):
+    keys = ("query_plan", "term_postings", "and_match", "bm25_weights", "language_model", "run_output", "block_seek")
+    for name, ids, queries in (("keys", range(200), keys), ("shared", [i - i % 7 % 2 for i in range(200)], ("query_plan", "and_match", "bm25_weights"))):
+        path = tmp_path / name
+        con = data(spark, path, ids)
+        for query in queries:
+            assert same_rows(spark, con, path, query), (name, query)
+        assert {key[2:] for key in catalog._indexes if key[1] == str(path)} == {(True,)}  # before: all terms were indexed
+
+
+def test_block_info_shuffles_postings_once(plain):
+    plan = impact.block_info(plain)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1  # of places in earlier pieces; before: of lengths and document counts too
