@@ -29,8 +29,10 @@ PIECE = 1 << 20
 
 
 def pieced(rows: DataFrame, size: int = PIECE) -> DataFrame:
-    """rows (term, doc_id, ...) with piece: a range of `size` document numbers."""
-    return rows.withColumn("piece", F.floor(F.col("doc_id") / size).cast("long"))
+    """rows (term, doc_id, ...) with piece: a range of `size` document numbers. Rows that have it are as they are, so what
+    was shuffled by it isn't again.
+    """
+    return rows if "piece" in rows.columns else rows.withColumn("piece", F.floor(F.col("doc_id") / size).cast("long"))
 
 
 def running(rows: DataFrame, name: str, value: Column, size: int = PIECE) -> DataFrame:
@@ -48,10 +50,10 @@ def running(rows: DataFrame, name: str, value: Column, size: int = PIECE) -> Dat
 
 
 def before(rows: DataFrame, name: str, size: int = PIECE) -> DataFrame:
-    """rows with the document before this one in the term's list, null for the first."""
+    """rows with piece and the document before this one in the term's list, null for the first."""
     rows = pieced(rows, size)
     last = rows.groupBy("term", "piece").agg(F.max("doc_id").alias("piece_last"))
     last = last.select("term", "piece", F.lag("piece_last").over(Window.partitionBy("term").orderBy("piece")).alias("piece_last"))
     out = rows.withColumn(name, F.lag("doc_id").over(Window.partitionBy("term", "piece").orderBy("doc_id")))
     out = out.join(last.filter("piece_last is not null"), ["term", "piece"], "left")
-    return out.withColumn(name, F.coalesce(name, "piece_last")).drop("piece", "piece_last")
+    return out.withColumn(name, F.coalesce(name, "piece_last")).drop("piece_last")

@@ -105,9 +105,14 @@ def score_quantize(ranges: DataFrame) -> DataFrame:
 
 def gap_encode(postings: DataFrame) -> DataFrame:
     """Gaps between documents of a list (less one) and frequencies less one."""
+    return pieced_gaps(postings).drop("piece")
+
+
+def pieced_gaps(postings: DataFrame) -> DataFrame:
+    """gap_encode with the pieces of the lists: what follows along the lists then needs no shuffle of its own."""
     rows = before(postings, "previous")
     gap = doc_ord() - F.coalesce(doc_ord("previous"), F.lit(0)) - 1
-    return rows.select("term", "doc_id", gap.cast("long").alias("gap"), (F.col("tf") - 1).alias("tf_less"))
+    return rows.select("term", "doc_id", "piece", gap.cast("long").alias("gap"), (F.col("tf") - 1).alias("tf_less"))
 
 
 def gap_decode(gaps: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def gap_decode(gaps: DataFrame) -> DataFrame:
 
 def block_bits(postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """By term and block: the width that holds nine tenths of the gaps, and the bytes that the largest needs beyond."""
-    gaps = numbered(gap_encode(postings), block)
+    gaps = numbered(pieced_gaps(postings), block)
     out = gaps.groupBy("term", "block_no").agg(
         F.sort_array(F.collect_list("gap")).alias("all"), F.count("*").alias("n"), F.max("gap").alias("max_gap")
     )  # at most `block` values a row

@@ -88,3 +88,10 @@ def test_topics_need_no_other_lists(spark, tmp_path):
 def test_block_info_shuffles_postings_once(plain):
     plan = impact.block_info(plain)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1  # of places in earlier pieces; before: of lengths and document counts too
+
+
+def test_gaps_are_decoded_where_they_were_encoded(plain):
+    plan = impact.gap_decode(impact.pieced_gaps(plain.postings))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(term", plan)) == 10  # before: 12
+    back = impact.gap_decode(impact.pieced_gaps(plain.postings)).collect()
+    assert sorted(map(tuple, back)) == sorted((r.term, r.doc_id + 1, r.tf) for r in plain.postings.collect())
